@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op4_bpe": bpe.query,
+    "op10_quality": quality.query,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
