@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, langid, quality, secrets, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op4_bpe": bpe.query,
+    "op6_langid": langid.query,
+    "op8_sharding": sharding.query,
+    "op9_secrets": secrets.query,
     "op10_quality": quality.query,
 }
 ORACLE_SQL = {
