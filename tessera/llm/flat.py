@@ -87,16 +87,23 @@ def words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.nd
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans that are sorted by start, in blocks of bounded memory."""
-    out = np.empty(len(starts), np.uint64)
+    return many_span_hashes(data, starts, [ends])[0]
+
+
+def many_span_hashes(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """The same for several ends of each start, such as prefixes of words; the first holds the longest spans."""
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + _BLOCK // 2)))
-        low, high = int(starts[a]), int(ends[a:b].max())
+        low, high = int(starts[a]), int(ends[0][a:b].max())
         up, down = powers(high - low + 1)
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(BYTE_KEYS[data[low:high]] * up[: high - low], out=total[1:])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        out[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * PLACES[63])
+        s = starts[a:b] - low
+        for found, stop in zip(out, ends):
+            e = stop[a:b] - low
+            found[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * PLACES[63])
         a = b
     return out
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, quality, secrets, sharding
+from . import bpe, decontaminate, langid, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_toxicity": toxicity.query,
     "op4_bpe": bpe.query,
     "op6_langid": langid.query,
     "op8_sharding": sharding.query,
