@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, quality, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, langid, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_toxicity": toxicity.query,
     "op4_bpe": bpe.query,
+    "op5_chat": chat.query,
     "op6_langid": langid.query,
     "op8_sharding": sharding.query,
     "op9_secrets": secrets.query,
@@ -15,4 +16,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op5_chat": chat.SQL,
 }
