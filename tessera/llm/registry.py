@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, quality, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_toxicity": toxicity.query,
+    "op3_jaccard": jaccard.query,
     "op4_bpe": bpe.query,
     "op5_chat": chat.query,
     "op6_langid": langid.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op3_jaccard": jaccard.SQL,
     "op5_chat": chat.SQL,
 }
