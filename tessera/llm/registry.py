@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, toxicity
+from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, suffix, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.query,
     "op5_chat": chat.query,
     "op6_langid": langid.query,
+    "op7_suffix_array": suffix.query,
     "op8_sharding": sharding.query,
     "op9_secrets": secrets.query,
     "op10_quality": quality.query,
