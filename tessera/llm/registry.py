@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, suffix, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontaminate": decontaminate.query,
     "op2_toxicity": toxicity.query,
     "op3_jaccard": jaccard.query,
