@@ -75,7 +75,7 @@ def with_disclaimer(text: Column) -> Column:
 def grounding_problem(text: Column, ids: Column, titles: Column) -> Column:
     """Cited ids must have been retrieved; without cited ids, trial headings must name a retrieved title."""
     cited = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bNCT\d{8}\b"), F.lit(0)))
-    known = F.transform(F.filter(ids, lambda x: x.isNotNull() & (x != "")), F.trim)
+    known = F.transform(F.filter(ids, lambda x: x.isNotNull() & (x != "")), lambda x: F.trim(x))
     names = F.transform(F.filter(titles, lambda x: x.isNotNull() & (x != "")), lambda x: F.lower(F.trim(x)))
     heads = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.lower(F.trim(x))), lambda x: x.startswith("**trial"))
     loose = F.exists(heads, lambda line: ~F.exists(names, lambda t: line.contains(t)))

@@ -103,7 +103,7 @@ def parent_id(chunk_id: Column) -> Column:
 
 def verdict_lines(text: Column, otherwise: int = 800) -> Column:
     """Lines with a verdict or a trial heading, or the text's beginning when there is none."""
-    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"(?i)VERDICT\s*:") | F.trim(x).rlike(r"^\*\*Trial\s+\d+")), F.trim)
+    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"(?i)VERDICT\s*:") | F.trim(x).rlike(r"^\*\*Trial\s+\d+")), lambda x: F.trim(x))
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.substring(text, 1, otherwise))
 
 
@@ -120,7 +120,7 @@ def unique_bullets(items: Column) -> Column:
 
 def trial_blocks(text: Column) -> Column:
     """A recommendation cut before each trial heading."""
-    return F.filter(F.transform(F.split(text, r"(?=\*\*Trial\s+\d+)"), F.trim), lambda x: x.rlike(r"^\*\*Trial\s+\d+"))
+    return F.filter(F.transform(F.split(text, r"(?=\*\*Trial\s+\d+)"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\*\*Trial\s+\d+"))
 
 
 def column_name(name: str) -> str:

@@ -59,7 +59,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, *, query: str = "query
 
 def best_parents(hits: DataFrame, k: int, query: str = "query_id", item: str = "id", parent: Column | None = None) -> DataFrame:
     """The k parents with the nearest chunks: (query, parent_id, distance, rank)."""
-    best = hits.groupBy(query, (parent if parent is not None else parent_id(F.col(item))).alias("parent_id")).agg(F.min("distance").alias("distance")).where("parent_id <> ''")
+    best = hits.groupBy(query, (parent if parent is not None else parent_id(F.col(item))).alias("parent_id")).agg(F.min("distance").alias("distance")).where("cast(parent_id AS string) <> ''")
     w = Window.partitionBy(query).orderBy("distance", "parent_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
