@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Label and the substrings that give it, tried in order. "iddm" comes before "niddm", which holds it.
 DIABETES = [
     ("Type 1 Diabetes", ["type 1", "t1d", "t1dm", "juvenile", "iddm", "lada"]),
@@ -61,11 +63,14 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 def classify(text: Column, rules: Sequence[tuple[str, Sequence[str]]], otherwise: str, missing: str = "Unknown") -> Column:
     """The first label of which a substring occurs in the lower-cased text."""
-    low = F.lower(text)
-    label = F.when(text.isNull(), missing)
-    for name, words in rules:
-        label = label.when(contains_any(low, words), name)
-    return label.otherwise(otherwise)
+
+    def label(low: Column) -> Column:
+        case = F.when(low.isNull(), missing)
+        for name, words in rules:
+            case = case.when(contains_any(low, words), name)
+        return case.otherwise(otherwise)
+
+    return bound(F.lower(text), label)
 
 
 def diabetes_type(conditions: Column, strict: bool = False) -> Column:

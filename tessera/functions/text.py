@@ -38,9 +38,15 @@ FEATURE_MASKS = {
 NOTHING = ["", "nan", "None"]
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` needs it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean_whitespace(text: Column) -> Column:
     """Outer white space gone, inner runs one space; null when nothing is left."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "), F.lit(""))
+    squeezed = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")
+    return bound(squeezed, lambda t: F.when(t != "", t))
 
 
 def decode_entities(text: Column) -> Column:
@@ -61,10 +67,16 @@ def expand_terms(text: Column) -> Column:
 
 def drop_repeated_words(text: Column) -> Column:
     """Words equal, in any case, to the one before go; a text of one word is left as it is."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    pairs = F.filter(F.arrays_zip(words.alias("w"), before.alias("b")), lambda p: p["b"].isNull() | (F.lower(p["w"]) != F.lower(p["b"])))
-    return F.when(F.size(words) <= 1, text).otherwise(F.array_join(F.transform(pairs, lambda p: p["w"]), " "))
+
+    def unrepeated(words: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+        pairs = F.filter(F.arrays_zip(words.alias("w"), before.alias("b")), lambda p: p["b"].isNull() | (F.lower(p["w"]) != F.lower(p["b"])))
+        return F.when(F.size(words) > 1, F.array_join(F.transform(pairs, lambda p: p["w"]), " "))
+
+    def whole(t: Column) -> Column:
+        return F.coalesce(bound(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), unrepeated), t)
+
+    return bound(text, whole)
 
 
 def clean(text: Column) -> Column:

@@ -53,7 +53,7 @@ def condition_breakdown(rows: DataFrame, conditions: Sequence[str] = ("breast_ca
 
 
 def verdict_pivot(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("condition").pivot("verdict", ORDER).agg(F.count("*"))
+    return rows.groupBy("condition").pivot("verdict", ORDER).agg(F.count(F.lit(1)))
 
 
 def by_verdict_order(rows: DataFrame) -> DataFrame:

@@ -90,17 +90,20 @@ def match(patients: DataFrame, trials: DataFrame, index: DataFrame, *, retrieve:
     top = rerank(pairs, keep, "patient_id", lexical_score(F.col("summary"), F.concat_ws(" ", "study_title", "conditions")), "retrieved_rank")
     trial = F.struct("rank", "nct_number", "study_title", F.concat_ws(" ", F.lower("conditions"), F.lower("disease")).alias("scope"))
     lists = top.groupBy("patient_id").agg(F.array_sort(F.collect_list(trial)).alias("trials"))
-    out = asked.join(lists, "patient_id", "left")
-    ids, titles = F.transform("trials", lambda t: t["nct_number"]), F.transform("trials", lambda t: t["study_title"])
-    written = recommend(F.col("summary"), F.col("trials")) if recommend else F.array_join(F.transform("trials", lambda t: F.concat(F.lit("**Trial "), t["rank"].cast("string"), F.lit("** "), t["nct_number"], F.lit(" - "), F.coalesce(t["study_title"], F.lit("")))), "\n")
-    answer = guards.with_disclaimer(written)
-    early = F.coalesce(F.col("input_problem"), guards.retrieval_problem(ids), guards.scope_problem(F.transform("trials", lambda t: t["scope"])))
-    late = F.coalesce(guards.output_problem(answer), guards.grounding_problem(answer, ids, titles))
-    stage = F.when(F.col("input_problem").isNotNull(), "input").when(guards.retrieval_problem(ids).isNotNull(), "retrieval").when(early.isNotNull(), "scope").when(late.isNotNull(), "output").otherwise("none")
-    reason = F.coalesce(early, late)
-    text = F.when(reason.isNotNull(), F.concat(F.lit("Guardrail triggered at "), stage, F.lit(": "), reason, F.lit(". " + guards.DISCLAIMER))).otherwise(answer)
-    shown = F.when(early.isNotNull(), F.array().cast("array<string>")).otherwise(ids)
-    return out.select("patient_id", "summary", "pii_hits", F.when(reason.isNotNull(), "blocked").otherwise("passed").alias("status"), stage.alias("stage"), reason.alias("reason"), shown.alias("trials"), text.alias("recommendation"))
+    listed = F.transform("trials", lambda t: F.concat(F.lit("**Trial "), t["rank"].cast("string"), F.lit("** "), t["nct_number"], F.lit(" - "), F.coalesce(t["study_title"], F.lit(""))))
+    out = asked.join(lists, "patient_id", "left").withColumns({
+        "ids": F.transform("trials", lambda t: t["nct_number"]), "titles": F.transform("trials", lambda t: t["study_title"]), "scopes": F.transform("trials", lambda t: t["scope"]),
+        "answer": guards.with_disclaimer(recommend(F.col("summary"), F.col("trials")) if recommend else F.array_join(listed, "\n")),
+    })
+    out = out.withColumns({
+        "retrieval": guards.retrieval_problem(F.col("ids")), "scope": guards.scope_problem(F.col("scopes")), "output": F.coalesce(guards.output_problem(F.col("answer")), guards.grounding_problem(F.col("answer"), F.col("ids"), F.col("titles"))),
+    })
+    steps = [("input", "input_problem"), ("retrieval", "retrieval"), ("scope", "scope"), ("output", "output")]
+    stage = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(name)) for name, c in steps), F.lit("none"))
+    reason = F.coalesce(*(c for _, c in steps))
+    text = F.when(reason.isNotNull(), F.concat(F.lit("Guardrail triggered at "), stage, F.lit(": "), reason, F.lit(". " + guards.DISCLAIMER))).otherwise(F.col("answer"))
+    shown = F.when(F.coalesce("input_problem", "retrieval", "scope").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("ids"))
+    return out.select("patient_id", "summary", "pii_hits", F.when(reason.isNotNull(), "blocked").otherwise("passed").alias("status"), stage.alias("stage"), reason.alias("reason"), shown.alias("matched"), text.alias("recommendation")).withColumnRenamed("matched", "trials")
 
 
 def trial_index(trials: DataFrame, model: Embed = hashed_words) -> DataFrame:

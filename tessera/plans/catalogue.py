@@ -50,9 +50,10 @@ def _sql_terms(x: str) -> str:
     return x
 
 
-def _sql_unrepeated(x: str) -> str:
-    words = rf"list_filter(string_split_regex({x}, '[ \t\n\v\f\r]+'), lambda w: w <> '')"
-    return f"CASE WHEN len({words}) <= 1 THEN {x} ELSE array_to_string(list_filter({words}, lambda w, i: i = 1 OR lower(w) <> lower(({words})[i - 1])), ' ') END"
+def _sql_unrepeated(source: str) -> str:
+    """Two steps that read (doc_id, t) from `source` and give it without repeated words as `unrepeated`."""
+    return rf"""split AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ \t\n\v\f\r]+'), lambda w: w <> '') AS ws FROM {source}),
+unrepeated AS (SELECT doc_id, CASE WHEN len(ws) <= 1 THEN t ELSE array_to_string(list_transform(list_filter(list_zip(ws, list_prepend(NULL, ws[1:len(ws) - 1])), lambda p: p[2] IS NULL OR lower(p[1]) <> lower(p[2])), lambda p: p[1]), ' ') END AS t FROM split)"""
 
 
 def _sql_classify(x: str, rules, otherwise: str) -> str:
@@ -69,8 +70,8 @@ PROSE = [("licensed", ["licensed", "copyright"]), ("marked", ["###", "$$$", "%%%
 WITH a AS (SELECT doc_id, {_sql_squeeze('text')} AS t FROM documents),
 b AS (SELECT doc_id, {_sql_entities('t')} AS t FROM a),
 c AS (SELECT doc_id, {_sql_terms(r"regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]', '', 'g')")} AS t FROM b),
-d AS (SELECT doc_id, {_sql_unrepeated('t')} AS t FROM c),
-e AS (SELECT doc_id, {_sql_squeeze('t')} AS t FROM d),
+{_sql_unrepeated('c')},
+e AS (SELECT doc_id, {_sql_squeeze('t')} AS t FROM unrepeated),
 k AS (SELECT {_sql_classify('t', PROSE, 'plain')} AS condition FROM e)
 SELECT condition, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct FROM k GROUP BY condition
 """)
@@ -82,8 +83,8 @@ def condition_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH a AS (SELECT doc_id, {_sql_squeeze('text')} AS t FROM documents),
 c AS (SELECT doc_id, {_sql_terms(r"regexp_replace(" + _sql_entities('t') + r", '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]', '', 'g')")} AS t FROM a),
-d AS (SELECT doc_id, {_sql_unrepeated('t')} AS t FROM c)
-SELECT doc_id, {_sql_squeeze('t')} AS cleaned FROM d
+{_sql_unrepeated('c')}
+SELECT doc_id, {_sql_squeeze('t')} AS cleaned FROM unrepeated
 """)
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
@@ -335,22 +336,22 @@ d AS (SELECT q.vec_id AS query_id, u.vec_id AS id, 1 - list_sum(list_transform(r
 """
 
 
-@query(_KNN_SQL + "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10")
+@query(_KNN_SQL + "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 10")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = search.nearest(queries, e.select(F.col("vec_id").alias("id"), "embedding"), 10)
-    return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), *_long("rank"))
+    return hits.select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), *_long("rank"))
 
 
 @query(_KNN_SQL + """r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d), h AS (SELECT query_id, id // 5 AS parent_id, min(distance) AS distance FROM r WHERE rank <= 15 GROUP BY 1, 2),
-p AS (SELECT query_id, parent_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, parent_id) AS rank FROM h) SELECT query_id, parent_id, round(distance, 6) AS distance, rank FROM p WHERE rank <= 5""")
+p AS (SELECT query_id, parent_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, parent_id) AS rank FROM h) SELECT query_id, parent_id, round(distance, 6) + 0.0 AS distance, rank FROM p WHERE rank <= 5""")
 def knn_parent_dedupe(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = search.nearest(queries, e.select(F.col("vec_id").alias("id"), "embedding"), 15)
     best = search.best_parents(hits, 5, parent=F.expr("id div 5"))
-    return best.select("query_id", "parent_id", F.round("distance", 6).alias("distance"), *_long("rank"))
+    return best.select("query_id", "parent_id", (F.round("distance", 6) + 0.0).alias("distance"), *_long("rank"))
 
 
 @query("""SELECT p_partkey FROM part WHERE NOT (contains(lower(p_type || ' ' || p_name), 'brass') AND NOT contains(lower(p_type || ' ' || p_name), 'small'))
