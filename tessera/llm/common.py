@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,35 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def key_bits(keys: DataFrame, bits: int, chunks: int = 64) -> bytes:
+    """A bitmap of 2**bits places, set where one of the hashed long keys (first column) falls: a filter of fixed size without misses."""
+    size = (1 << bits) // 8 // chunks
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
+        for batch in batches:
+            held[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - bits)] = True
+        packed = np.packbits(held).reshape(chunks, size)
+        some = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed[c].tobytes() for c in some], pa.binary())], names=["chunk", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row = np.frombuffer(x.as_buffer(), np.uint8)
+                held[c] = held[c] | row if c in held else row.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    schema = "chunk int, bits binary"
+    rows = keys.mapInArrow(mark, schema).repartition(chunks, "chunk").mapInArrow(unite, schema).toArrow()
+    found = dict(zip(rows["chunk"].to_pylist(), rows["bits"].to_pylist()))
+    return b"".join(found.get(c, bytes(size)) for c in range(chunks))
+
+
+def in_bits(keys: np.ndarray, bitmap: bytes) -> np.ndarray:
+    bits = len(bitmap).bit_length() + 2
+    place = keys.view(np.uint64) >> np.uint64(64 - bits)
+    return (np.frombuffer(bitmap, np.uint8)[place >> np.uint64(3)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
