@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).csv(path)
 
 
