@@ -3,7 +3,8 @@
 Base kinds are found by pattern: assigned secrets, access identifiers and long hex
 strings. Weak parts (identifiers, unnamed mixed strings, endpoints) prove nothing alone:
 an interval join over the documents that have any, by bins of the scope's width, reports
-one only where a complementary part lies within the scope around it.
+one only where a complementary part lies within the scope around it. An unnamed secret
+has 32 characters or more and may stand right behind a '=', as in KEY=value.
 
 Spans are in code points, end exclusive. Defined results: null and empty texts have no
 spans; ties in start are in the order of the kinds; rows equal in id and text get equal
@@ -27,7 +28,7 @@ BASE = [
 #: Weak parts: kind, pattern. Roles: identifier, secret, endpoint.
 WEAK = [
     ("link_id", r"(?i)(?:client|account|user|key|tenant)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,}"),
-    ("link_secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("link_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"),
     ("link_endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal|local)(?::[0-9]{2,5})?"),
 ]
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "link_id": "identifier", "link_secret": "secret", "link_endpoint": "endpoint"}
