@@ -8,6 +8,7 @@ blocks by hash, each scanned in its own pass.
 
 Defined results: a null or empty text has no words and is never contaminated; an
 item without words has no windows; an item of fewer than n words is one window;
+items whose id is null hit as all others do, and stand in a list of ids as one null at its end;
 repeated rows get equal results; extra columns are carried along, and one that
 bears the name of the result column is replaced.
 """
@@ -57,8 +58,10 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_col: str, text_col: str
                         out["item"].append(items[row].as_py())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("k", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("item", pa.string())]))
 
-    raw = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    return raw.mapInArrow(windows, "k int, hash long, words binary, item string").groupBy("k", "hash", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    raw = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    found = raw.mapInArrow(windows, "k int, hash long, words binary, item string").groupBy("k", "hash", "words")
+    nameless = F.when(F.max(F.col("item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return found.agg(F.concat(F.sort_array(F.collect_set("item")), nameless).alias("items"))
 
 
 def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -70,7 +73,7 @@ class _Index:
 
     def __init__(self, rows: pa.Table):
         self.sizes = sorted(set(rows["k"].to_pylist()))
-        self.verified: dict[tuple[int, int], list[tuple[bytes, list[str]]]] = {}
+        self.verified: dict[tuple[int, int], list[tuple[bytes, list[str | None]]]] = {}
         for k, h, words, items in zip(*(rows[c].to_pylist() for c in ("k", "hash", "words", "items"))):
             self.verified.setdefault((k, h), []).append((words, items))
         self.hashes = {k: np.sort(np.array([h for size, h in self.verified if size == k], np.int64).view(np.uint64)) for k in self.sizes}
@@ -96,7 +99,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: _Index, text_at: int, result
             starts, ends, at = fl.words(part, rows, fl.ALNUM)
             hashes = fl.span_hashes(part, starts, ends)
             spans: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[str]] = {}
+            items: dict[int, set[str | None]] = {}
             for k in index.sizes:
                 found, first = index.hits(hashes, at, k)
                 for h, i, row in zip(found.view(np.int64).tolist(), first.tolist(), fl.rows_of(first, at).tolist()):
@@ -108,7 +111,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: _Index, text_at: int, result
             for row in range(high - low):
                 before = earlier[low + row]
                 hit = [*spans.get(row, ()), *((x["start"], x["end"]) for x in before["hits"])] if before else spans.get(row, [])
-                results.append({"n_words": int(at[row + 1] - at[row]), "hits": _merged(hit), "items": sorted({*items.get(row, ()), *(before["items"] if before else ())})})
+                results.append({"n_words": int(at[row + 1] - at[row]), "hits": _merged(hit), "items": sorted({*items.get(row, ()), *(before["items"] if before else ())}, key=lambda x: (x is None, x))})
         columns = [pa.array(results, _ARROW) if i == result_at else batch.column(i) for i in range(batch.num_columns)]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
@@ -129,7 +132,7 @@ def decontaminate(
     """Find the benchmark's windows in the documents.
 
     action "report" adds `result_col` (words, merged hit word spans, item ids in string
-    order); "documents" drops contaminated documents and "spans" cuts the hit words out
+    order, last a null for items without one); "documents" drops contaminated documents and "spans" cuts the hit words out
     of the text, both returning the columns of `docs`. max_windows bounds each broadcast.
     """
     if action not in ("report", "spans", "documents"):

@@ -1,8 +1,9 @@
 """Cases of the first review: each failed before its finding was settled."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tessera.llm import secrets
+from tessera.llm import decontaminate, secrets
 
 
 # --- op9_secrets
@@ -19,3 +20,23 @@ def test_secrets_behind_an_equals_sign_and_long_ones(spark):
     assert linked == {1: [short], 2: [], 3: [long], 4: [long], 5: ["Ab1" * 400], 6: []}
     clean = {r.doc_id: r.t for r in found.select("doc_id", secrets.redact(F.col("text"), F.col("secrets")).alias("t")).collect()}
     assert clean[1] == "AWS_ACCESS_[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]\n" and clean[3] == "[SECRET] AccountKey=[SECRET];x"
+
+
+# --- op1_decontaminate
+def test_items_without_an_id_contaminate(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"so {item} it goes"), (2, f"{item} and short words"), (3, "clean"), (4, "other nameless"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, "other nameless"), (7, item), (8, "short words"), (None, None)], "item_id long, text string")
+    for blocks in (1_000_000, 2):
+        found = {r.doc_id: r.contamination for r in decontaminate.decontaminate(docs, bench, max_windows=blocks).collect()}
+        assert {i: (c["items"], [tuple(x) for x in c["hits"]]) for i, c in found.items()} == {1: (["7", None], [(1, 12)]), 2: (["7", "8", None], [(0, 11), (12, 14)]), 3: ([], []), 4: ([None], [(0, 2)]), 5: ([], [])}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench, action="documents").collect()} == {3, 5}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    mine = decontaminate.query(spark, str(tmp_path))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    theirs = db.execute(decontaminate.SQL)
+    assert [d[0] for d in theirs.description] == mine.columns
+    assert sorted(map(tuple, mine.collect())) == sorted(theirs.fetchall())
