@@ -10,7 +10,8 @@ longest earlier match (LPF), and greater ones its later match. Anchors with more
 kinds of contexts are settled by counting their windows instead, over all executors.
 
 keep="none" removes every byte under a window that starts anywhere else too; keep="first" keeps
-the first occurrence (in order of `id_col`, then place) and removes windows that have an earlier match.
+the first occurrence and removes windows that have an earlier match. Its order is that of `id_col`
+(nulls last), then of the texts' hashes, then of equal rows as they are stored once, then of places.
 All judgements are on the input. Whole texts are treated as UTF-8 bytes and matches never cross documents.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` keep all; rows
@@ -285,7 +286,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 50, keep:
     """Add kept (binary), n_bytes and removed (array of start, end in bytes, maximal runs) to the documents."""
     rest = docs.drop("kept", "n_bytes", "removed")
     key, spans = free_name(rest, "_key"), free_name(rest, "_spans")
-    keyed = rest.withColumn(key, F.xxhash64(id_col, text_col))
+    keyed = _numbered(rest, key, id_col, text_col) if keep == "first" else rest.withColumn(key, F.xxhash64(id_col, text_col))
     plain = keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     found = repeats(plain.where(F.octet_length("text") >= length), length, gram, keep)
     joined = keyed.join(found.withColumnRenamed("key", key).withColumnRenamed("spans", spans), key, "left")
@@ -313,6 +314,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 50, keep:
     return out.mapInArrow(cut, out.schema).select(*rest.columns, "kept", "n_bytes", "removed")
 
 
+def _numbered(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with an ascending number of its own for each row; stored once, as equal rows have no order that could be found again."""
+    tie = free_name(docs, "_tie")
+    ordered = docs.withColumn(tie, F.monotonically_increasing_id()).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col), tie).drop(tie)
+    return written(ordered.withColumn(key, F.monotonically_increasing_id()), "suffix-rows")
+
+
 def _exact(df: DataFrame, name: str) -> str:
     return next(c for c in df.columns if c.lower() == name.lower())
 

@@ -1,9 +1,11 @@
 """Cases of the first review: each failed before its finding was settled."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, secrets
+from tessera.llm import decontaminate, secrets, suffix
 
 
 # --- op9_secrets
@@ -40,3 +42,31 @@ def test_items_without_an_id_contaminate(spark, tmp_path):
     theirs = db.execute(decontaminate.SQL)
     assert [d[0] for d in theirs.description] == mine.columns
     assert sorted(map(tuple, mine.collect())) == sorted(theirs.fetchall())
+
+
+# --- op7_suffix_array
+@pytest.mark.parametrize("most", [16_384, 1])
+def test_the_first_of_repeated_rows_stays(spark, most, monkeypatch):
+    rng = np.random.default_rng(11)
+    rand = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = [rand(n) for n in (64, 90, 200)]
+    rows = [(i, rand(int(rng.integers(0, 90))) + shared[i % 3] + rand(int(rng.integers(0, 90)))) for i in range(40)]
+    rows += [rows[5], rows[5], (60, rand(150)), (61, "xy" * 100), (61, "xy" * 100), (None, rows[7][1]), (None, rows[7][1]), (None, rand(30)), (70, None), (71, "")]
+    lone = rand(180)
+    rows += [(None, lone), (None, lone)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    real = suffix.repeats
+    monkeypatch.setattr(suffix, "repeats", lambda docs, length, gram, keep: real(docs, length, gram, keep, most))
+    made = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=64, gram=24, keep="first")
+    mine = sorted(((r.doc_id, r.text, bytes(r.kept)) for r in made.collect()), key=str)
+
+    seen, expected = set(), []  # in order of id, nulls last; texts of one id are equal here but for those that share nothing
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b, cover = (t or "").encode(), np.zeros(len((t or "").encode()), bool)
+        for s in range(len(b) - 63):
+            w = b[s : s + 64]
+            cover[s : s + 64] |= w in seen
+            seen.add(w)
+        expected.append((i, t, bytes(np.frombuffer(b, np.uint8)[~cover])))
+    assert mine == sorted(expected, key=str)
+    assert sum(t == lone and k.decode() == lone for _, t, k in mine) == 1
