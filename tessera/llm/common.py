@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, one is made in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='tessera-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
@@ -53,10 +56,11 @@ def key_bits(keys: DataFrame, bits: int, chunks: int = 64) -> bytes:
     size = (1 << bits) // 8 // chunks
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, bool)
+        held = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
-            held[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - bits)] = True
-        packed = np.packbits(held).reshape(chunks, size)
+            place = np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(held, (place >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (place & np.uint64(7)).astype(np.uint8))
+        packed = held.reshape(chunks, size)
         some = np.flatnonzero(packed.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed[c].tobytes() for c in some], pa.binary())], names=["chunk", "bits"])
 
@@ -78,3 +82,17 @@ def in_bits(keys: np.ndarray, bitmap: bytes) -> np.ndarray:
     bits = len(bitmap).bit_length() + 2
     place = keys.view(np.uint64) >> np.uint64(64 - bits)
     return (np.frombuffer(bitmap, np.uint8)[place >> np.uint64(3)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def maybe_in(keys: DataFrame, key: Column, most: int = 1 << 24) -> Column | None:
+    """A condition on the long column `key` that holds for all of `keys` and for few others; None if there are more than `most` keys."""
+    n = keys.count()
+    if n > most:
+        return None
+    bitmap = keys.sparkSession.sparkContext.broadcast(key_bits(keys, min(27, max(16, (16 * n).bit_length()))))
+
+    @F.pandas_udf("boolean")
+    def inside(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(values.to_numpy(np.int64), bitmap.value))
+
+    return inside(key)

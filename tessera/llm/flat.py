@@ -61,12 +61,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(bounds: np.ndarray, limit: int = 1 << 21):
-    """Row ranges (low, high) of at most `limit` bytes, or of one longer row."""
+def pieces(bounds: np.ndarray, limit: int = 1 << 21, most: int = 1 << 30):
+    """Row ranges (low, high) of at most `limit` bytes and `most` rows, or of one longer row."""
     low, rows = 0, len(bounds) - 1
     while low < rows:
         high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, "right")) - 1)
-        yield low, min(high, rows)
+        high = min(high, rows, low + most)
+        yield low, high
         low = high
 
 
