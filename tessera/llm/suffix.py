@@ -13,9 +13,10 @@ keep="none" removes every byte under a window that starts anywhere else too; kee
 the first occurrence and removes windows that have an earlier match. Its order is that of `id_col`
 (nulls last), then of the texts' hashes, then of equal rows as they are stored once, then of places.
 All judgements are on the input. Whole texts are treated as UTF-8 bytes and matches never cross documents.
+With keep="none", rows of equal texts go whole and stand for one text in the search for other matches.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` keep all; rows
-equal in id and text are copies of each other; removing may split characters, so kept bytes are
+equal in text are copies of each other, whatever their ids; removing may split characters, so kept bytes are
 binary; extra columns are carried along, and ones that bear the names of results are replaced.
 """
 
@@ -25,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import flat as fl
-from .common import free_name, table, written
+from .common import free_name, maybe_in, table, written
 
 CONTEXT = "h long, key long, base int, own int, alone boolean, bytes binary"
 
@@ -83,9 +85,15 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, c, key, pos) of all anchors of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal texts of a task give their anchors once; forgotten at times, as repeats do no harm
         for batch in batches:
-            data, bounds = fl.flat(batch.column(1))
             keys = np.asarray(batch.column(0))
+            fresh = np.sort([i for i in np.unique(keys, return_index=True)[1].tolist() if int(keys[i]) not in seen]).astype(np.int64)
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(keys[fresh].tolist())
+            batch, keys = batch.take(pa.array(fresh)), keys[fresh]
+            data, bounds = fl.flat(batch.column(1))
             for low, high in fl.pieces(bounds):
                 row, pos, h, c = _anchors(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], length, gram)
                 if len(row):
@@ -95,30 +103,38 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each wanted (key, h, pos, alone)."""
+    """The bytes around each wanted (key, h, pos, alone); one row of each key's text is read."""
     per_key = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "alone")).alias("places"))
+    may_have = maybe_in(wanted.select("key").distinct(), F.col("key"))
+    texts = (docs if may_have is None else docs.where(may_have)).select("key", "text").dropDuplicates(["key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = text.as_buffer().to_pybytes()
-                for x in places:
-                    start = max(0, x["pos"] - (length - gram))
-                    rows.append((x["h"], key, start, x["pos"] - start, x["alone"], raw[start : x["pos"] + length]))
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_pydict(dict(zip(("h", "key", "base", "own", "alone", "bytes"), map(list, zip(*rows[at : at + 20_000])))), _CONTEXT)
-
-    return docs.join(per_key, "key").select("key", "text", "places").mapInArrow(cut, CONTEXT)
-
+            data, bounds = fl.flat(batch.column(1))
+            lists = batch.column(2)
+            h, pos, alone = (lists.flatten().field(i) for i in range(3))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            at = np.asarray(pos).astype(np.int64)
+            start = np.maximum(at - (length - gram), 0)
+            end = np.minimum(at + length, np.diff(bounds)[row])
+            keys = np.asarray(batch.column(0))
+            for low in range(0, len(row), 8192):
+                part = slice(low, low + 8192)
+                first, size = bounds[row[part]] + start[part], (end - start)[part]
+                offsets = np.append(0, np.cumsum(size))
+                flat = data[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
+                found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+                columns = [h.slice(low, 8192), pa.array(keys[row[part]]), pa.array(start[part].astype(np.int32)), pa.array((at - start)[part].astype(np.int32)), alone.slice(low, 8192), found]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "base", "own", "alone", "bytes"])
 
-_CONTEXT = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("base", pa.int32()), ("own", pa.int32()), ("alone", pa.bool_()), ("bytes", pa.binary())])
+    return texts.join(per_key, "key").select("key", "text", "places").mapInArrow(cut, CONTEXT)
 
 
 def suffix_ranks(data: np.ndarray, group: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes with `length` bytes left of their text, in suffix order within their groups, and their ranks by those bytes.
+    """Suffixes that have `length` bytes left of their text and share them with another one of their group, in order of their ranks by those bytes.
 
-    Prefix doubling: ranks of 8, 16, ... bytes; the last step joins two overlapping blocks to exactly `length` (16 or more).
+    Prefix doubling: ranks of 8, 16, ... bytes; the last step joins two overlapping blocks to exactly `length` (16 or
+    more). A suffix that is alone in its rank keeps that rank, which no other can reach, and is not sorted again.
     """
     n = len(data)
     padded = np.zeros(n + 8, np.uint8)
@@ -126,35 +142,30 @@ def suffix_ranks(data: np.ndarray, group: np.ndarray, left: np.ndarray, length:
     eight = np.zeros(n, np.uint64)
     for i in range(8):
         eight |= padded[i : i + n].astype(np.uint64) << np.uint64(56 - 8 * i)
-    rank = _dense(np.lexsort((eight, group)), group, eight)
-    reach = 8
-    live = np.arange(n)
-    while 2 * reach <= length:
-        live = live[left[live] >= 2 * reach]
-        rank = _joined(rank, live, reach, n)
-        reach *= 2
-    live = live[left[live] >= length]
-    if reach < length:
-        rank = _joined(rank, live, length - reach, n)
+    order = np.lexsort((eight, group))
+    rank, shared = np.empty(n, np.int64), np.zeros(n, bool)
+    rank[order], shared[order] = _dense(group[order], eight[order])
+    live, reach, base = np.flatnonzero(shared), 8, n
+    while reach < length:
+        step = min(reach, length - reach)
+        live = live[left[live] >= reach + step]
+        key = rank[live] * (16 * n) + rank[live + step]
+        order = np.argsort(key)
+        dense, several = _dense(key[order])
+        rank[live[order]] = base + dense
+        live = np.sort(live[order[several]])
+        reach, base = reach + step, base + n
     order = live[np.argsort(rank[live], kind="stable")]
     return order, rank[order]
 
 
-def _dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(order), bool)
+def _dense(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of sorted rows by their keys, and whether others have the same."""
+    new = np.zeros(len(keys[0]) + 1, bool)
+    new[[0, -1]] = True
     for key in keys:
-        new[1:] |= key[order[1:]] != key[order[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
-def _joined(rank: np.ndarray, live: np.ndarray, step: int, n: int) -> np.ndarray:
-    key = rank[live] * n + rank[live + step]
-    order = np.argsort(key)
-    out = np.full(n, -1, np.int64)
-    out[live] = _dense(order, key)
-    return out
+        new[1:-1] |= key[1:] != key[:-1]
+    return np.cumsum(new[:-1]) - 1, ~(new[:-1] & new[1:])
 
 
 def nearest(values: np.ndarray, run: np.ndarray, side: int, smaller: bool) -> np.ndarray:
@@ -175,61 +186,65 @@ def nearest(values: np.ndarray, run: np.ndarray, side: int, smaller: bool) -> np
     return at
 
 
-def _settle(rows: list[tuple], length: int, gram: int, first: bool) -> Iterator[tuple[int, int, int]]:
-    """(key, start, end) of bytes under matched windows of lone contexts; rows: (h, key, base, own, alone, bytes)."""
-    sizes = np.array([len(r[5]) for r in rows])
-    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-    begin = np.append(0, np.cumsum(sizes))
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    left = begin[1:][owner] - np.arange(len(data))
-    group = np.unique([r[0] for r in rows], return_inverse=True)[1][owner]
-    order, rank = suffix_ranks(data, group, left, length)
-    if not len(order):
-        return
-    base = np.array([r[2] for r in rows], np.int64)
-    keys = np.unique([r[1] for r in rows], return_inverse=True)[1]
+def _settle(h: np.ndarray, key: np.ndarray, base: np.ndarray, alone: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int, first: bool) -> pa.RecordBatch:
+    """(key, start, end) of bytes under matched windows of lone contexts."""
+    sizes = np.diff(bounds)
+    owner = np.repeat(np.arange(len(h)), sizes)
+    left = bounds[1:][owner] - np.arange(len(data))
+    order, rank = suffix_ranks(data, np.unique(h, return_inverse=True)[1][owner], left, length)
     who = owner[order]
-    place = (keys[who].astype(np.int64) << 40) + base[who] + order - begin[who]  # order of documents, then of places
+    place = (np.unique(key, return_inverse=True)[1][who].astype(np.int64) << 40) + base[who] + order - bounds[who]  # order of documents, then of places
     before, after = nearest(place, rank, -1, True), nearest(place, rank, 1, True)
     matched = (before >= 0) | (after >= 0)  # LPF reaches `length`
     if not first:
         matched |= (nearest(place, rank, -1, False) >= 0) | (nearest(place, rank, 1, False) >= 0)
     hit = np.sort(order[matched])
-    lone = np.array([r[4] for r in rows])
-    hit = hit[lone[owner[hit]]]
-    if not len(hit):
-        return
-    new = np.append(True, (np.diff(hit) > length) | (owner[hit[1:]] != owner[hit[:-1]]))
-    starts, ends = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] + length
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        row = rows[owner[s]]
-        yield row[1], row[2] + s - int(begin[owner[s]]), row[2] + e - int(begin[owner[s]])
+    hit = hit[alone[owner[hit]]]
+    new = np.append(True, (np.diff(hit) > length) | (owner[hit[1:]] != owner[hit[:-1]])) if len(hit) else np.zeros(0, bool)
+    starts, ends = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] + length if len(hit) else hit
+    who = owner[starts]
+    shift = base[who] - bounds[who]
+    return pa.RecordBatch.from_arrays([pa.array(key[who]), pa.array((starts + shift).astype(np.int32)), pa.array((ends + shift).astype(np.int32))], names=["key", "start", "end"])
 
 
 SPANS = "key long, start int, end int"
-_SPANS = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def settled(found: DataFrame, length: int, gram: int, first: bool, flush: int = 1 << 21) -> DataFrame:
+def settled(found: DataFrame, length: int, first: bool, flush: int = 1 << 20) -> DataFrame:
     """Spans of the contexts' matched windows; whole anchors are gathered up to about `flush` bytes a suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= flush and row[0] != held[-1][0]:
-                    out += _settle(held, length, gram, first)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(("key", "start", "end"), map(list, zip(*out)))), _SPANS)
-        if held and (out := list(_settle(held, length, gram, first))):
-            yield pa.RecordBatch.from_pydict(dict(zip(("key", "start", "end"), map(list, zip(*out)))), _SPANS)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+        def judged(rows: pa.Table) -> pa.RecordBatch:
+            h, key, base, alone = (rows[c].to_numpy() for c in ("h", "key", "base", "alone"))
+            return _settle(h, key, base.astype(np.int64), alone, *fl.flat(rows["bytes"]), length, first)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(4).nbytes
+            if size < flush:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows["h"].to_numpy()
+            cuts = np.flatnonzero(np.diff(h)) + 1
+            ends = np.append(0, np.cumsum(pc.binary_length(rows["bytes"]).to_numpy()))
+            low = 0
+            while len(cuts) and cuts[-1] > low:
+                high = int(cuts[max(0, np.searchsorted(ends[cuts], ends[low] + flush, "right") - 1)])
+                if high <= low:
+                    high = int(cuts[np.searchsorted(cuts, low, "right")])
+                yield judged(rows.slice(low, high - low))
+                low = high
+            rest = rows.slice(low).combine_chunks()
+            held = rest.to_batches()
+            size = sum(b.column(4).nbytes for b in held)
+        if held and (rows := pa.Table.from_batches(held)).num_rows:
+            yield judged(rows)
+
+    slim = found.select("h", "key", "base", "alone", "bytes")
+    return slim.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
 def counted(found: DataFrame, length: int, gram: int, first: bool) -> DataFrame:
@@ -261,24 +276,25 @@ def counted(found: DataFrame, length: int, gram: int, first: bool) -> DataFrame:
     return islands.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).cast("int").alias("end")).select("key", "start", "end")
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 16_384) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 4096) -> DataFrame:
     """(key, spans) of bytes to remove from (key, text)."""
     if keep not in ("none", "first") or not 16 <= gram <= length // 2 * 2 or length < 32:
         raise ValueError("keep is 'none' or 'first', and 16 <= gram <= length")
     first = keep == "first"
     h, hc = Window.partitionBy("h"), Window.partitionBy("h", "c")
-    met = anchors(docs, length, gram).withColumn("n", F.count("*").over(h)).where("n > 1").withColumn("several", F.min("c").over(h) != F.max("c").over(h))
-    met = met.withColumn("same", F.count("*").over(hc)).withColumn("nth", F.row_number().over(hc.orderBy("key", "pos")))
-    met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(h)).drop("n", "c")
-    met = written(met.where("several OR same > 1"), "suffix-anchors")
+    place = F.struct("key", "pos")
+    met = anchors(docs, length, gram).withColumn("same", F.min(place).over(hc) != F.max(place).over(hc)).withColumn("nth", F.row_number().over(hc.orderBy("key", "pos")))
+    met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(h)).drop("c")
+    met = written(met.where("same OR kinds > 1"), "suffix-anchors")
 
     start, end = F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end")
-    whole = met.where("nth > 1" if first else "same > 1").select("key", start, end)
-    wanted = met.where("several AND nth = 1").select("key", "h", "pos", (F.lit(True) if first else F.col("same") == 1).alias("alone"), "kinds")
-    usual = settled(contexts(docs, wanted.where(F.col("kinds") <= most), length, gram), length, gram, first)
-    spans = whole.unionByName(usual)
+    whole = met.where("nth > 1" if first else "same").select("key", start, end)
+    wanted = met.where("kinds > 1 AND nth = 1").select("key", "h", "pos", F.lit(True).alias("alone") if first else (~F.col("same")).alias("alone"), "kinds")
+    spans = whole.unionByName(settled(contexts(docs, wanted.where(F.col("kinds") <= most), length, gram), length, first))
     if not wanted.where(F.col("kinds") > most).isEmpty():
         spans = spans.unionByName(counted(contexts(docs, wanted.where(F.col("kinds") > most), length, gram), length, gram, first))
+    if not first:  # texts of several rows go whole
+        spans = spans.unionByName(docs.groupBy("key").count().where("count > 1").select("key", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end")))
     return spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
@@ -286,10 +302,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 50, keep:
     """Add kept (binary), n_bytes and removed (array of start, end in bytes, maximal runs) to the documents."""
     rest = docs.drop("kept", "n_bytes", "removed")
     key, spans = free_name(rest, "_key"), free_name(rest, "_spans")
-    keyed = _numbered(rest, key, id_col, text_col) if keep == "first" else rest.withColumn(key, F.xxhash64(id_col, text_col))
+    keyed = _numbered(rest, key, id_col, text_col) if keep == "first" else rest.withColumn(key, F.xxhash64(text_col))
     plain = keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    found = repeats(plain.where(F.octet_length("text") >= length), length, gram, keep)
-    joined = keyed.join(found.withColumnRenamed("key", key).withColumnRenamed("spans", spans), key, "left")
+    found = written(repeats(plain.where(F.octet_length("text") >= length), length, gram, keep), "suffix-spans").withColumnRenamed("key", key).withColumnRenamed("spans", spans)
+    may_have = maybe_in(found.select(key), F.col(key))  # other texts keep all and are not moved
+    joined = keyed.join(found, key, "left") if may_have is None else keyed.where(may_have).join(found, key, "left").unionByName(keyed.where(~may_have).withColumn(spans, F.lit(None).cast(found.schema[spans].dataType)))
     out = joined.withColumns({"kept": F.lit(None).cast("binary"), "n_bytes": F.lit(None).cast("long"), "removed": F.lit(None).cast("array<struct<start:long,end:long>>")})
     text_at, spans_at, width = out.columns.index(_exact(out, text_col)), out.columns.index(spans), len(out.columns) - 3
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
