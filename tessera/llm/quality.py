@@ -1,14 +1,12 @@
 """10. Quality rules with n-gram perplexity.
 
 Base rules count words, symbols, repeated lines and repeated word windows. A modified
-Kneser-Ney model of character 4-grams per language is counted by Spark over all
-documents, fitted one language a task and held in sorted arrays that are looked up by
-binary search. Per-character cross-entropies of the documents that pass the base rules
-give each language a lower and an upper band; documents outside are rejected.
+Kneser-Ney model of code-point 5-grams per language is counted by Spark over all documents (see
+`ngrams`) and stored as sorted hash arrays. Per-character cross-entropies of the documents that
+pass the base rules give each language a lower and an upper band; documents outside are rejected.
 
-Characters are folded to 64 classes (letters, digits, groups of signs, classes of
-UTF-8 bytes), so a language has at most 64**4 4-grams whatever the corpus, which
-bounds the models. Models of many languages are scored in blocks of bounded size.
+The model grows with the corpus. Its commonest n-grams, up to `max_rows`, are broadcast; what
+documents have of rarer ones is summed up per document and joined to the rest of the table by hash.
 
 Defined results: null and empty texts have no words and fail the base rules; null
 languages share one model; a language of which no document passes the base rules has
@@ -20,156 +18,24 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import flat as fl
+from . import ngrams
 from .common import table, written
 
-ORDER, BITS, PAD = 4, 6, 63
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, 42, np.uint32)
-    out[[0x20, *range(0x09, 0x0E)]] = 0
-    for i in range(26):
-        out[0x41 + i] = out[0x61 + i] = 1 + i
-    out[0x30:0x3A] = 27
-    groups = [".", ",", "-", "'", '"', ":;", "!?", "()[]{}", "<>", "/\\|", "#", "*", "$%&", "@_=+~^`"]
-    for i, group in enumerate(groups):
-        out[[ord(c) for c in group]] = 28 + i
-    out[0x80:0xC0] = 43 + (np.arange(64) & 15)
-    out[0xC0:0xE0], out[0xC3], out[0xE0:0xF0], out[0xF0:] = 60, 59, 61, 62
-    return out
-
-
-CLASSES = _classes()
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-COUNTS = "lang string, key long, n long"
-MODEL = "lang string, part int, keys binary, weights binary, contexts binary, backoff binary"
 LANG = "coalesce(cast(lang AS string), '') AS lang"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each byte, with padding before each row, and the bytes per row."""
-    rows, lengths = len(bounds) - 1, np.diff(bounds)
-    padded = np.full(len(data) + (ORDER - 1) * rows, PAD, np.uint32)
-    real = np.zeros(len(padded), bool)
-    folded = CLASSES[data]
-    for row in range(rows):
-        s, e = bounds[row], bounds[row + 1]
-        at = s + (ORDER - 1) * (row + 1)
-        padded[at : at + e - s] = folded[s:e]
-        real[at : at + e - s] = True
-    key = padded.copy()
-    for back in range(1, ORDER):
-        key[back:] |= padded[:-back] << np.uint32(BITS * back)
-    return key[real], lengths
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, key, n) over all whole texts, combined in each task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs: dict[str, int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def combined() -> tuple[np.ndarray, np.ndarray]:
-            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            return keys[first], np.add.reduceat(n, first)
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            keys, n = combined()
-            names = np.array(list(langs), object)
-            for at in range(0, len(keys), 100_000):
-                k = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(names[k >> (BITS * ORDER)], pa.string()), pa.array(k & (1 << BITS * ORDER) - 1), pa.array(n[at : at + 100_000].astype(np.int64))], names=["lang", "key", "n"])
-
-        for batch in batches:
-            data, bounds = fl.flat(batch.column(1))
-            of = np.array([langs.setdefault(x, len(langs)) for x in batch.column(0).to_pylist()], np.int64)
-            for low, high in fl.pieces(bounds):
-                key, lengths = grams(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
-                held.append(_counted(key | np.repeat(of[low:high] << BITS * ORDER, lengths)))
-                size += len(held[-1][0])
-                if size > 4_000_000 and len(held) > 1:
-                    held[:] = [combined()]
-                    if (size := len(held[0][0])) > 2_000_000:  # many languages: hand over what is counted so far
-                        yield from rows()
-                        held.clear()
-                        size = 0
-        if held:
-            yield from rows()
-
-    return docs.selectExpr(LANG, "text").mapInArrow(count, COUNTS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-
-
-def fit(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney, one row a language and order; a language's table has at most 64**4 rows."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("key")
-        keys, n = frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-        levels = [(keys, n)]
-        for order in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols before a gram
-            levels.append(_counted(levels[-1][0] & (1 << BITS * order) - 1))
-        lower_keys, lower = np.zeros(1, np.int64), np.array([1 / (1 << BITS)])
-        out = []
-        for part, (keys, n) in enumerate(reversed(levels)):
-            times = [max(int((n == i).sum()), 1) for i in range(1, 5)]
-            y = times[0] / (times[0] + 2 * times[1])
-            discounts = np.clip([0, *(i - (i + 1) * y * times[i] / times[i - 1] for i in range(1, 4))], 0, [0, 0.95, 1.9, 2.85])
-            context = keys >> BITS
-            starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            total = np.add.reduceat(n, starts)
-            taken = discounts[np.minimum(n, 3)]
-            backoff = np.maximum(np.add.reduceat(taken, starts) / total, 1e-9)
-            below = lower[np.searchsorted(lower_keys, keys & (1 << BITS * part) - 1)] if part else np.full(len(keys), lower[0])
-            p = (n - taken) / np.repeat(total, sizes) + np.repeat(backoff, sizes) * below
-            out.append((frame["lang"].iloc[0], part, keys.astype(np.uint32).tobytes(), np.log(p).astype(np.float32).tobytes(), context[starts].astype(np.uint32).tobytes(), np.log(backoff).astype(np.float32).tobytes()))
-            lower_keys, lower = keys, p
-        return pd.DataFrame(out, columns=["lang", "part", "keys", "weights", "contexts", "backoff"])
-
-    return counts.groupBy("lang").applyInPandas(one, MODEL)
-
-
-class Model:
-    """Sorted hash arrays of one language."""
-
-    def __init__(self, rows: Sequence[dict]):
-        self.levels = []
-        for row in sorted(rows, key=lambda r: -r["part"]):
-            self.levels.append((np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["weights"], np.float32), np.frombuffer(row["contexts"], np.uint32), np.frombuffer(row["backoff"], np.float32)))
-
-    def logp(self, keys: np.ndarray) -> np.ndarray:
-        """Log probabilities of sorted or unsorted 4-gram keys; unseen grams back off."""
-        out, added, left = np.zeros(len(keys)), np.zeros(len(keys)), np.arange(len(keys))
-        for depth, (known, weights, contexts, backoff) in enumerate(self.levels):
-            gram = keys[left] & np.uint32((1 << BITS * (ORDER - depth)) - 1)
-            at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            hit = known[at] == gram
-            out[left[hit]] = added[left[hit]] + weights[at[hit]]
-            left, gram = left[~hit], gram[~hit]
-            if not len(left):
-                return out
-            at = np.minimum(np.searchsorted(contexts, gram >> np.uint32(BITS)), len(contexts) - 1)
-            added[left] += np.where(contexts[at] == gram >> np.uint32(BITS), backoff[at], 0)
-        out[left] = added[left] - np.log(1 << BITS)
-        return out
+def model(docs: DataFrame) -> DataFrame:
+    """(h, nats, n) of every n-gram of the documents (lang, text)."""
+    counts = written(ngrams.count_grams(docs, F.col("lang"), F.col("text")), "quality-counts")
+    return written(ngrams.hashed(ngrams.fit(counts).values(counts.select("lang", "g", "n"))), "quality-model")
 
 
 def _repeated_words(hashes: np.ndarray, at: np.ndarray, k: int = 8) -> np.ndarray:
@@ -186,6 +52,8 @@ def _repeated_words(hashes: np.ndarray, at: np.ndarray, k: int = 8) -> np.ndarra
 
 def _repeated_lines(data: np.ndarray, bounds: np.ndarray, worded: np.ndarray) -> np.ndarray:
     """Lines of each row with a word that equal an earlier line; worded: running count of word bytes."""
+    if not len(data):
+        return np.zeros(len(bounds) - 1, np.int64)
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.union1d(bounds[:-1], breaks + 1)
     starts = starts[starts < len(data)]
@@ -212,80 +80,71 @@ def _base(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def score(docs: DataFrame, models: DataFrame, carry: Sequence[str] = ("doc_id",), max_bytes: int = 128 << 20) -> DataFrame:
-    """Base counts and cross-entropy (nats a character, null without text) of each document.
+def score(docs: DataFrame, known: DataFrame, carry: Sequence[str] = ("doc_id",), max_rows: int = 4_000_000) -> DataFrame:
+    """Base counts and cross-entropy (nats a character, null without text) of each document; `known` is the model of these documents.
 
-    Languages are put into blocks of at most max_bytes of models (or of one model); each block is broadcast and scores its own documents.
+    If the model has more than max_rows n-grams, the commonest of them, down to a power of two of occurrences, are broadcast.
     """
-    sizes = models.groupBy("lang").agg(F.sum(F.length("keys") + F.length("weights") + F.length("contexts") + F.length("backoff")).alias("b")).orderBy("lang").collect()
-    blocks: list[list[str]] = [[]]
-    filled = 0
-    for lang, size in sizes:
-        if filled and filled + size > max_bytes:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append(lang)
-        filled += size
-    parts = [_score(docs, models, langs if len(blocks) > 1 else None, carry) for langs in blocks]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _score(docs: DataFrame, models: DataFrame, langs: list[str] | None, carry: Sequence[str]) -> DataFrame:
-    own = models if langs is None else models.where(F.col("lang").isin(langs))
-    shared = docs.sparkSession.sparkContext.broadcast(own.toArrow().to_pylist())
+    spark = docs.sparkSession
+    sizes = dict(known.groupBy(F.floor(F.log2("n")).cast("int")).count().collect())  # at most 64 rows
+    least, filled = 64, 0
+    for power in sorted(sizes, reverse=True):
+        if filled + sizes[power] > max_rows:
+            break
+        least, filled = power, filled + sizes[power]
+    whole = filled == sum(sizes.values())
+    common = known if whole else known.where(F.col("n") >= 2**least)
+    rows = common.select("h", "nats").toArrow()  # at most max_rows
+    order = np.argsort(h := rows["h"].to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((h[order].tobytes(), rows["nats"].to_numpy()[order].astype(np.float32).tobytes()))
     source = docs.select(*carry, F.expr(LANG), "text")
-    source = source if langs is None else source.where(F.col("lang").isin(langs))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = len(carry) + 1
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:kept]), *(f"{c} long" for c in counts), "nats double"])
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:kept]]
+    schema = ", ".join([*own, *(f"{c} long" for c in COUNTS), "chars long, total double, rare array<long>, times array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str, list[dict]] = {}
-        for row in shared.value:
-            by.setdefault(row["lang"], []).append(row)
-        model = {lang: Model(rows) for lang, rows in by.items()}
+        arrays = ngrams.Arrays(*shared.value)
         for batch in batches:
             data, bounds = fl.flat(batch.column(kept))
-            names = batch.column(kept - 1).to_pylist()
-            found: dict[str, list[np.ndarray]] = {c: [] for c in [*counts, "nats"]}
+            langs = batch.column(kept - 1).to_pylist()
+            seeds = {x: ngrams.seed(x) for x in set(langs)}
             for low, high in fl.pieces(bounds):
-                part, rows = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
-                for c, values in _base(part, rows).items():
-                    found[c].append(values)
-                found["nats"].append(_nats(part, rows, names[low:high], model))
-            arrays = [*(batch.column(i) for i in range(kept)), *(pa.array(np.concatenate(found[c]).astype(np.int64) if found[c] else [], pa.int64()) for c in counts)]
-            nats = np.concatenate(found["nats"]) if found["nats"] else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(nats, pa.float64(), mask=np.isnan(nats))], names=[*batch.schema.names[:kept], *counts, "nats"])
-
-    return source.mapInArrow(run, schema)
-
-
-def _nats(data: np.ndarray, bounds: np.ndarray, langs: list[str], models: dict[str, Model]) -> np.ndarray:
-    """Mean negative log probability of each row's characters. Keys are looked up once a piece, in order."""
-    key, lengths = grams(data, bounds)
-    rows = len(lengths)
-    both, n = _counted(key.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(rows, dtype=np.uint64), lengths))
-    of, key = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.uint32)
-    names = np.array(langs, object)
-    total = np.zeros(rows)
-    for lang in set(langs):
-        mine = (names == lang)[of]
-        k = key[mine]
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        if len(first):
-            logp = np.repeat(models[lang].logp(k[first]), np.diff(np.append(first, len(k))))
-            total += np.bincount(of[mine], weights=logp * n[mine], minlength=rows)
-    with np.errstate(invalid="ignore"):
-        return np.where(lengths > 0, -total / lengths, np.nan)
+                part, at = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
+                base = _base(part, at)
+                codes, ends = ngrams.code_points(part, at)
+                total, rare = _nats(codes, ends, np.array([seeds[x] for x in langs[low:high]], np.uint64), arrays)
+                columns = [*(batch.column(i).slice(low, high - low) for i in range(kept)), *(pa.array(base[c].astype(np.int64)) for c in COUNTS), pa.array(np.diff(ends)), pa.array(total), *rare]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:kept], *COUNTS, "chars", "total", "rare", "times"])
+
+    scored = source.mapInArrow(run, schema)
+    if not whole:
+        scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "quality-parts")
+        rare = scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
+        sums = rare.join(known.where(F.col("n") < 2**least), "h").groupBy("_row").agg(F.sum(F.col("nats") * F.col("times")).alias("more"))
+        scored = scored.join(sums, "_row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
+    return scored.select(*carry, "lang", *COUNTS, F.when(F.col("chars") > 0, F.col("total") / F.col("chars")).alias("nats"))
+
+
+def _nats(codes: np.ndarray, bounds: np.ndarray, seeds: np.ndarray, arrays: ngrams.Arrays) -> tuple[np.ndarray, list[pa.Array]]:
+    """Each row's sum over n-grams that the arrays have, and lists of the others with their times."""
+    rows = len(bounds) - 1
+    padded, ends = ngrams.grams(codes, bounds)
+    of = np.repeat(np.arange(rows), np.diff(bounds))
+    h = ngrams.hashes(padded, ends, seeds[of])
+    nats, known = arrays.find(h)
+    h, other = h[~known], of[~known]
+    order = np.lexsort((h, other))
+    h, other = h[order], other[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1]))) if len(h) else np.zeros(0, np.int64)
+    offsets = pa.array(np.searchsorted(other[first], np.arange(rows + 1)).astype(np.int32))
+    times = np.diff(np.append(first, len(h))).astype(np.int32)
+    return np.bincount(of, weights=nats, minlength=rows).astype(float), [pa.ListArray.from_arrays(offsets, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))]
 
 
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
-def bands(scored: DataFrame, spread: float = 3.0, steps: int = 1000) -> DataFrame:
+def bands(scored: DataFrame, spread: float = 5.0, steps: int = 1000) -> DataFrame:
     """Per language: low and high quartile of cross-entropy, from counts in steps of 1/1000 nat over all documents
     that pass the base rules, and the width of the bands beyond them: `spread` interquartile ranges of 0.02 nat at least."""
     counts = scored.where(~F.expr(BASE_FAILED) & F.col("nats").isNotNull()).groupBy("lang", F.floor(F.col("nats") * steps).alias("step")).agg(F.count("*").alias("n"))
@@ -296,12 +155,11 @@ def bands(scored: DataFrame, spread: float = 3.0, steps: int = 1000) -> DataFram
     return quartiles.select("lang", (F.col("q1") / steps).alias("low"), ((F.col("q3") + 1) / steps).alias("high"), width.alias("width"))
 
 
-def quality_rules(docs: DataFrame, carry: Sequence[str] = ("doc_id",), spread: float = 3.0) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: Sequence[str] = ("doc_id",), spread: float = 5.0, max_rows: int = 4_000_000) -> DataFrame:
     """`carry` columns, lang, base counts, base_failed, nats, perplexity, the language's bands and kept, for each document."""
-    models = written(fit(count_grams(docs)), "quality-model")
-    scored = written(score(docs, models, carry), "quality-scores")
-    limits = bands(scored, spread)
-    judged = scored.join(F.broadcast(limits), "lang", "left") if models.select("lang").distinct().count() <= 100_000 else scored.join(limits, "lang", "left")
+    scored = written(score(docs, model(docs), carry, max_rows), "quality-scores")
+    limits = written(bands(scored, spread), "quality-bands")
+    judged = scored.join(F.broadcast(limits), "lang", "left") if limits.count() <= 100_000 else scored.join(limits, "lang", "left")
     width = F.col("width") * F.sqrt(1 + 100 / F.greatest("n_words", F.lit(1)))  # means over short texts vary more
     inside = F.coalesce(F.col("nats").between(F.col("low") - width, F.col("high") + width), F.lit(True))
     return judged.withColumn("perplexity", F.exp("nats")).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & inside)

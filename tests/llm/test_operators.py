@@ -1,16 +1,18 @@
 """Each operator against brute force and on awkward rows: nulls, empty and very long texts, ties, repeats, clashing names, no rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, chat, common, components, decontaminate, jaccard, langid, quality, secrets, sharding, suffix, toxicity
+from tessera.llm import bpe, chat, common, components, decontaminate, jaccard, langid, ngrams, quality, secrets, sharding, suffix, toxicity
 from tessera.llm import flat as fl
 
 from .conftest import BENCH
@@ -62,23 +64,43 @@ def insulted(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
 
 
-def test_toxicity_is_learned_and_deobfuscated(insulted):
-    texts = insulted.select("doc_id", "text")
-    model = toxicity.language_model(texts).toArrow().to_pylist()
-    channel = toxicity.Channel(quality.Model(model))
-    assert [channel.restore(t) for t in ("1d10t", "id!ot", "i d i o t", "m.o.r.o.n", "moooron", "bridge")] == ["idiot", "idiot", "idiot", "moron", "moron", "bridge"]
-    weights = toxicity.lexicon(texts, insulted.where(~common.held_out()).select("doc_id", "toxic"), model)
-    scored = toxicity.score(insulted, weights, model)
+def test_toxicity_is_learned_and_deobfuscated(spark, insulted):
+    hidden = {"1d10t": "idiot", "id!ot": "idiot", "i d i o t": "idiot", "m.o.r.o.n": "moron", "moooron": "moron", "idi07": "idiot", "idiooooooooot": "idiot"}
+    odd = spark.createDataFrame([(1000 + i, f"they said {t} again", 0) for i, t in enumerate([*hidden, "bridge", "1d10t" * 30, "i d i o t " * 30])], "doc_id long, text string, toxic int")
+    texts = insulted.unionByName(odd).select("doc_id", "text")
+    readings = toxicity.restored(texts, toxicity.language_model(texts))
+    found = {r.token: r.reading for r in readings.collect()}
+    assert all(found[t if "ooo" not in t else t.replace("o" * 9, "ooo")] == word for t, word in hidden.items()) and "bridge" not in found
+    long = [t for t in found if len(t) == toxicity.PIECE]
+    assert len(long) >= 4 and all("idiot" in found[t] for t in long)  # no length is left out
+    learned = toxicity.lexicon(insulted.select("doc_id", "text"), insulted.where(~common.held_out()).select("doc_id", "toxic"), readings)
+    scored = toxicity.score(insulted, learned, readings, carry=("doc_id", "toxic"))
     right = scored.where(common.held_out()).where((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count()
     assert right == insulted.where(common.held_out()).count() and scored.where("score < 0 OR score > 1").count() == 0
+    far = {r.doc_id: r.score for r in toxicity.score(odd, learned, readings).collect()}
+    assert all((x > far[1000 + len(hidden)]) == (i != 1000 + len(hidden)) for i, x in far.items())
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(8)
+    for token in ("a5$b", "l 0 l", "g0000d", "1!"):
+        places = toxicity.lattice(token)
+        nats = {g: float(rng.random() * 5) for g in toxicity.spelt(token)}
+        best = []
+        for path in itertools.product(*places):
+            text, cost = "".join(x for x, _ in path), sum(c for _, c in path)
+            for k in range(len(text)):
+                cost += nats[("\x02\x02\x02 " + text[: k + 1])[-5:]]
+            best.append((cost, text))
+        assert toxicity.likeliest(token, nats) == min(best)[1].strip()
 
 
 def test_toxicity_of_awkward_rows(docs, insulted):
-    model = toxicity.language_model(docs).toArrow().to_pylist()
-    none = toxicity.lexicon(docs, insulted.limit(0), model)
-    scored = toxicity.score(docs, none, model)
-    assert not none.any() and scored.columns[-1] == "score" and scored.select("score").distinct().count() == 1 and scored.count() == docs.count()
-    assert toxicity.score(docs.limit(0), none, model).count() == 0
+    readings = toxicity.restored(docs, toxicity.language_model(docs))
+    none = toxicity.lexicon(docs, insulted.limit(0), readings)
+    scored = toxicity.score(docs, none, readings, carry=[c for c in docs.columns if c != "text"])
+    assert not none.weights.any() and scored.columns[-1] == "score" and scored.select("score").distinct().count() == 1 and scored.count() == docs.count()
+    assert toxicity.score(docs.limit(0), none, readings).count() == 0
 
 
 # --- 3
@@ -325,14 +347,49 @@ def test_quality_counts(docs, plain):
 
 
 def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame([("en", "abracadabra abba"), ("en", "barbara")], "lang string, text string")
-    model = quality.Model(quality.fit(quality.count_grams(df)).toArrow().to_pylist())
-    for context in ("abr", "zzz", "a b"):
-        head = 0
-        for c in context.encode():
-            head = head << quality.BITS | int(quality.CLASSES[c])
-        total = np.exp(model.logp(np.array([head << quality.BITS | s for s in range(64)], np.uint32))).sum()
-        assert abs(total - 1) < 0.02
+    df = spark.createDataFrame([("en", "abracadabra abba"), ("en", "barbara bra"), ("en", "abracadabra abba bar"), ("de", "bar")], "lang string, text string")
+    counts = ngrams.count_grams(df.repartition(3), F.col("lang"), F.col("text")).cache()
+    brute = Counter()
+    for lang, text in map(tuple, df.collect()):
+        brute.update((lang, (ngrams.PAD * 4 + text)[k : k + 5]) for k in range(len(text)))
+    assert {(r.lang, r.g): r.n for r in counts.collect()} == brute
+    assert {r.g for r in counts.where("d > 1 AND lang = 'en'").collect()} >= {"abrac", ngrams.PAD * 4 + "a"} and counts.where("d > 1 AND g = ' barb'").count() == 0
+    model = ngrams.fit(counts)
+    symbols = [r.g for r in model.p[1].where("lang = 'en'").collect()]
+    for context in ("abra", "zzzz", "ba a"):
+        wanted = spark.createDataFrame([("en", context + x) for x in symbols], "lang string, g string")
+        total = sum(np.exp(-r.nats) for r in model.values(wanted).collect())
+        unseen = np.exp(-model.values(spark.createDataFrame([("en", context + "#")], "lang string, g string")).first().nats)
+        assert abs(total + unseen - 1) < 1e-6
+
+
+def test_code_points_and_hash_lookup():
+    data, bounds = fl.flat(pa.array(["Aé日😀", None, "", "É\u00a0x"]))
+    codes, at = ngrams.code_points(data, bounds)
+    assert "".join(map(chr, codes)) == "aé日😀é x" and at.tolist() == [0, 4, 4, 4, 7]
+    assert ngrams.strings(np.array([[97, 0xE9, 0x65E5, 0x1F600, 32]] * 2, np.uint32)).to_pylist() == ["aé日😀 "] * 2
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
+    arrays = ngrams.Arrays(keys.tobytes(), np.arange(5000, dtype=np.float32).tobytes())
+    values, known = arrays.find(np.append(keys[::-1], keys[:9] + np.uint64(1)))
+    assert known[:5000].all() and not known[5000:].any() and values[:5000].tolist() == list(range(4999, -1, -1))
+
+
+def test_tables_of_empty_texts_only(spark, tmp_path):
+    spark.createDataFrame([(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, None, "de", None, 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, BENCH)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (decontaminate, toxicity, jaccard, bpe, langid, suffix, sharding, secrets, quality):
+        assert module.query(spark, str(tmp_path)).count() == 3, module.__name__
+
+
+def test_rare_grams_are_joined(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(30)) if i % 9 else None, ["en", "de", None][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = quality.model(df)
+    one, two = ({r.doc_id: r.nats for r in quality.score(df, known, max_rows=m).collect()} for m in (10**6, 50))
+    assert len(one) == len(two) == 60 and all((one[i] is None) == (two[i] is None) and abs((one[i] or 0) - (two[i] or 0)) < 1e-5 for i in one)
+    assert one[0] is None and one[1] > 0
 
 
 def test_odd_prose_is_rejected_and_usual_prose_kept(spark):
