@@ -3,7 +3,9 @@
 Byte-level BPE in batched numpy merge rounds: the symbols of all new words of a
 batch stand in one flat array; each round looks all neighbouring pairs up by binary
 search over the sorted pair keys, takes every word's lowest rank and merges all its
-occurrences at once, until no word has a pair left. Words seen before come from a
+occurrences at once, until no word has a pair left. In long words, every pair that is the lowest
+as far around as a token can reach is merged in the same round: what happens farther away cannot
+reach it first. Words seen before come from a
 bounded cache. Ids and texts are made row by row, without a shuffle.
 
 Defined results: null and empty texts give no ids and decode to the empty text;
@@ -50,6 +52,7 @@ class Vocabulary:
     size: int
     pieces: list[bytes | None]
     special: dict[str, int]
+    longest: np.ndarray  # bytes of the longest token with each byte: pairs farther apart cannot meet before they are merged
     cache: dict[str, bytes] = field(default_factory=dict)
 
     @classmethod
@@ -70,13 +73,18 @@ class Vocabulary:
             pieces[i] = bytes(bytes_of[c] for c in token) if all(c in bytes_of for c in token) else token.encode()
         for token, i in special.items():
             pieces[i] = token.encode()
-        return cls(np.array([vocab[c] for c in alphabet], np.int32), keys[order], np.arange(len(pairs), dtype=np.int32)[order], np.array([vocab[a + b] for a, b in pairs], np.int32)[order], size, pieces, special)
+        longest = np.ones(256, np.int64)
+        for i in vocab.values():
+            inside = np.frombuffer(pieces[i], np.uint8)
+            longest[inside] = np.maximum(longest[inside], len(inside))
+        return cls(np.array([vocab[c] for c in alphabet], np.int32), keys[order], np.arange(len(pairs), dtype=np.int32)[order], np.array([vocab[a + b] for a, b in pairs], np.int32)[order], size, pieces, special, longest)
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, by merge rounds over all words together."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        reach = int(self.longest[np.frombuffer(b"".join(w for w in words if len(w) > 128), np.uint8)].max(initial=1))
         while len(symbols):
             same = owner[1:] == owner[:-1]
             keys = symbols[:-1].astype(np.int64) * self.size + symbols[1:]
@@ -96,6 +104,10 @@ class Vocabulary:
             else:
                 going = np.ones(len(symbols), bool)
             hit = going & (rank == np.repeat(lowest, lengths))
+            if lengths.max() > max(128, 4 * reach):  # long words: also what is lowest as far as any merge can reach
+                hit |= going & (rank < _NONE) & (rank == _lowest_near(rank, reach))
+                run = np.cumsum(np.append(True, (rank[1:] != rank[:-1]) | ~same))  # pairs of one rank in a row count from the first
+                hit &= hit[np.append(True, run[1:] != run[:-1])][run - 1]
             at = np.flatnonzero(hit)
             run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # "aaa" has overlapping pairs: every other one counts
             at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
@@ -141,6 +153,15 @@ class Vocabulary:
         return b"".join(p for i in np.frombuffer(ids, "<u4").tolist() if i < self.size and (p := self.pieces[i]) is not None).decode("utf-8", "replace")
 
 
+def _lowest_near(rank: np.ndarray, reach: int) -> np.ndarray:
+    """The lowest rank within `reach` places of each."""
+    width, edge = 2 * reach + 1, np.full(reach, _NONE, rank.dtype)
+    least, size = np.concatenate([edge, rank, edge]), 1
+    while 2 * size <= width:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    return np.minimum(least[: len(rank)], least[width - size : width - size + len(rank)])
+
+
 def _with(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.drop(column).withColumn(column, F.lit(None).cast(kind))
 

@@ -8,7 +8,7 @@ languages' proportions, and those that no gain could pay for are not tried. The
 prediction is the set's largest language and the score is its proportion.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without
-any labelled document everything is `und`; null languages are never learned; repeated
+any labelled document everything is `und`; beyond 131,072 languages an error is raised; null languages are never learned; repeated
 rows count and are predicted each; ties go to the language first in order; extra
 columns are carried along, and ones that bear the names of the results are replaced.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import flat as fl
 from .common import held_out, table
 
-BUCKETS = 1 << 16
+BUCKETS, CELLS = 1 << 16, 1 << 25
 LETTERS = np.zeros(256, bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 
@@ -49,37 +49,69 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     """(lang, bucket, n): trigram counts of all whole texts with a language; at most BUCKETS rows a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def combined() -> tuple[np.ndarray, np.ndarray]:
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(place, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            known, (keys, n) = np.array(list(names), object), combined()
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(known[part // BUCKETS], pa.string()), pa.array((part % BUCKETS).astype(np.int32)), pa.array(n[at : at + 100_000])], names=["lang", "bucket", "n"])
+
+        size = 0
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            for lang in sorted(set(langs.tolist())):
-                data, bounds = fl.flat(batch.column(1).filter(pa.array(langs == lang)))
-                for low, high in fl.pieces(bounds):
-                    buckets, _, _ = _trigrams(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
-                    n = np.bincount(buckets, minlength=BUCKETS)
-                    held[lang] = held[lang] + n if lang in held else n
-        for lang, n in held.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["lang", "bucket", "n"])
+            of = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
+            data, bounds = fl.flat(batch.column(1))
+            for low, high in fl.pieces(bounds):
+                part, at = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
+                buckets, first, words = _trigrams(part, at)
+                if not len(buckets):
+                    continue
+                word_row = np.repeat(np.arange(low, high), np.diff(words))
+                row = np.repeat(word_row, np.diff(np.append(first, len(buckets))))
+                held.append(np.unique(of[row] * BUCKETS + buckets, return_counts=True))
+                size += len(held[-1][0])
+                if size > 2_000_000 and len(held) > 1:
+                    held[:] = [combined()]
+                    if (size := len(held[0][0])) > 1_000_000:  # many languages: hand over what is counted so far
+                        yield from rows()
+                        held.clear()
+                        size = 0
+        if held:
+            yield from rows()
 
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     return labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def buckets_for(languages: int) -> int:
+    """Buckets of the model: fewer for very many languages, so that it holds CELLS numbers at most; up to CELLS / 256 languages."""
+    buckets = BUCKETS
+    while buckets > 256 and buckets * languages > CELLS:
+        buckets //= 2
+    return buckets
+
+
 class Mixture:
     """Log likelihoods of trigrams, one column a language."""
 
     def __init__(self, counts: pa.Table, smoothing: float = 0.5):
         self.langs = sorted(set(counts["lang"].to_pylist()))
-        n = np.zeros((BUCKETS, len(self.langs)))
+        self.buckets = buckets_for(len(self.langs))
+        n = np.zeros((self.buckets, len(self.langs)), np.float32)
         column = {lang: i for i, lang in enumerate(self.langs)}
-        n[counts["bucket"].to_numpy(), [column[x] for x in counts["lang"].to_pylist()]] = counts["n"].to_numpy()
-        self.logp = np.log((n + smoothing) / (n.sum(0) + smoothing * BUCKETS)).astype(np.float32)
+        np.add.at(n, (counts["bucket"].to_numpy() % self.buckets, [column[x] for x in counts["lang"].to_pylist()]), counts["n"].to_numpy())
+        self.logp = np.log((n + np.float32(smoothing)) / (n.sum(0, dtype=np.float64) + smoothing * self.buckets)).astype(np.float32)
 
     def infer(self, data: np.ndarray, bounds: np.ndarray, penalty: float, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Each row's proportions of the languages (zero outside its chosen set) and its number of words."""
         rows, k = len(bounds) - 1, len(self.langs)
         buckets, first, at = _trigrams(data, bounds)
+        buckets %= self.buckets
         n = np.diff(at)
         share = np.zeros((rows, k))
         some = np.flatnonzero(n)
@@ -131,15 +163,17 @@ def _has_letter(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return plain
 
 
-def predict(docs: DataFrame, counts: DataFrame, *, text_col: str = "text", penalty: float = 3.0, max_languages: int = 500) -> DataFrame:
+def predict(docs: DataFrame, counts: DataFrame, *, text_col: str = "text", penalty: float = 3.0) -> DataFrame:
     """Add lang_pred, score and languages (map of the chosen set's proportions) to the documents.
 
-    The model is broadcast: BUCKETS floats a language, of which max_languages are accepted.
+    The model is broadcast: at most CELLS floats, shared out among the languages.
     """
     n_langs = counts.select("lang").distinct().count()
-    if n_langs > max_languages:
-        raise ValueError(f"{n_langs} languages are more than {max_languages}")
-    shared = docs.sparkSession.sparkContext.broadcast(Mixture(counts.toArrow()))
+    if n_langs * 256 > CELLS:
+        raise ValueError(f"{n_langs} languages are more than {CELLS // 256}")
+    folded = counts.groupBy("lang", (F.col("bucket") % buckets_for(n_langs)).alias("bucket")).agg(F.sum("n").alias("n"))  # at most CELLS rows
+    shared = docs.sparkSession.sparkContext.broadcast(Mixture(folded.toArrow()))
+    piece = max(1 << 14, (1 << 23) // max(n_langs, 4))  # a task holds a number for each word and language
     source = docs.drop("lang_pred", "score", "languages")
     text_at, width = [c.lower() for c in source.columns].index(text_col.lower()), len(source.columns)
     out = source.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "languages": F.lit(None).cast("map<string,double>")})
@@ -151,7 +185,7 @@ def predict(docs: DataFrame, counts: DataFrame, *, text_col: str = "text", penal
             langs: list[str] = []
             scores: list[float] = []
             sets: list[list[tuple[str, float]]] = []
-            for low, high in fl.pieces(bounds):
+            for low, high in fl.pieces(bounds, piece):
                 part, rows = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
                 share, _ = model.infer(part, rows, penalty)
                 for letter, p in zip(_has_letter(part, rows).tolist(), share):

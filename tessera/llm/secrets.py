@@ -1,8 +1,8 @@
 """9. Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base kinds are found by pattern: assigned secrets, access identifiers and long hex
-strings. Weak parts (identifiers, unnamed mixed strings, endpoints) prove nothing alone:
-an interval join over the documents that have any, by bins of the scope's width, reports
+strings. Weak parts (identifiers, unnamed mixed strings, endpoints and hosts, and what is too
+short for the base kinds) prove nothing alone: an interval join over the documents that have any, by bins of the scope's width, reports
 one only where a complementary part lies within the scope around it. An unnamed secret
 has 32 characters or more and may stand right behind a '=', as in KEY=value.
 
@@ -17,65 +17,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, written
 
 #: Kinds in order, pattern, group whose length counts, least length.
 BASE = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("hex", r"[0-9a-f]{12,}", 0, 24),
 ]
-#: Weak parts: kind, pattern. Roles: identifier, secret, endpoint.
+#: Matches that the lengths above drop are weak parts: kind, base kind, least length.
+SHORT = [("link_assign", "assign", 1), ("link_access", "access", 8), ("link_hex", "hex", 12)]
+#: Other weak parts by pattern. Roles: identifier, secret, endpoint.
 WEAK = [
     ("link_id", r"(?i)(?:client|account|user|key|tenant)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,}"),
     ("link_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"),
-    ("link_endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws\.com|internal|local)(?::[0-9]{2,5})?"),
+    ("link_endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?|(?<![A-Za-z0-9.@-])[a-z0-9-]++(?:\.[a-z0-9-]++)*\.(?:com|net|org|io|dev|cloud|internal|local)(?![A-Za-z0-9-])(?::[0-9]{2,5})?"),
 ]
-ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "link_id": "identifier", "link_secret": "secret", "link_endpoint": "endpoint"}
+ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "link_assign": "secret", "link_access": "identifier", "link_hex": "secret", "link_id": "identifier", "link_secret": "secret", "link_endpoint": "endpoint"}
 KINDS = list(ROLES)
+#: A text without any of these has no span: each base kind and each secret, which every link needs, holds one.
+GUARD = r"(?i:pass(?:word|wd)|secret|token|api_?key)|AKIA|[0-9a-f]{12}|[A-Za-z0-9+/_-]{32}"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
-def found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
-    """The pattern's leftmost non-overlapping matches as (start, rank, end), those whose group is too short dropped.
+def found(text: Column, pattern: str, group: int, ranks: list[tuple[int, int]]) -> Column:
+    """The pattern's leftmost non-overlapping matches as (start, rank, end).
 
-    The places come from the lengths of the matches and of what lies between them.
+    `ranks` are (least length of the group, rank), longest first; shorter matches are dropped. The places come from the
+    lengths of the matches and of what lies between them, summed in blocks of 256 matches so that no long array is copied for each.
     """
     matches, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    rank = F.lit(KINDS.index(kind))
     steps = F.arrays_zip(F.transform(F.slice(parts, 1, F.size(matches)), F.length).alias("gap"), F.transform(matches, F.length).alias("own"), F.transform(kept, F.length).alias("kept"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(steps) - 1) / 256), F.lit(0)).cast("int")), lambda b: F.slice(steps, b * 256 + 1, 256))
+
+    def begin(done: Column, block: Column) -> Column:
+        width = F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["own"])
+        return F.struct((done["at"] + width).alias("at"), F.array_append(done["starts"], done["at"]).alias("starts"))
 
     def add(done: Column, x: Column) -> Column:
         start = done["at"] + x["gap"]
+        rank = F.lit(None).cast("int")
+        for least, value in reversed(ranks):
+            rank = F.when(x["kept"] >= least, F.lit(value)).otherwise(rank)
         span = F.struct(start.alias("start"), rank.alias("rank"), (start + x["own"]).alias("end"))
-        return F.struct((start + x["own"]).alias("at"), F.when(x["kept"] >= least, F.array_append(done["out"], span)).otherwise(done["out"]).alias("out"))
+        return F.struct((start + x["own"]).alias("at"), F.when(rank.isNotNull(), F.array_append(done["out"], span)).otherwise(done["out"]).alias("out"))
 
     none = F.array().cast(SPAN)
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda done: done["out"])
+    starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), begin, lambda done: done["starts"])
+    spans = F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), add, lambda done: done["out"])))
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
+def parts_of(text: Column) -> Column:
+    """All parts of a text, base and weak, as (start, rank, end)."""
+    short = {base: (least, KINDS.index(kind)) for kind, base, least in SHORT}
+    strong = [found(text, pattern, group, [(least, KINDS.index(kind)), short[kind]]) for kind, pattern, group, least in BASE]
+    return F.concat(*strong, *(found(text, pattern, 0, [(1, KINDS.index(kind))]) for kind, pattern in WEAK))
+
+
 def scan(docs: DataFrame, *, scope: int = 200, id_col: str = "doc_id", text_col: str = "text", result_col: str = "secrets") -> DataFrame:
-    """Add `result_col`: all spans (start, kind, end), base and linked, by start and then kind."""
+    """Add `result_col`: all spans (start, kind, end), base and linked, by start and then kind.
+
+    Texts that the guard clears have none and go by; of the others only keys and parts are joined with what links them.
+    """
     rest = docs.drop(result_col)
-    key, base = free_name(rest, "_key"), free_name(rest, "_base")
-    keyed = rest.withColumn(key, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text_col))))
+    key, spans = free_name(rest, "_key"), free_name(rest, "_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = keyed.withColumn(base, F.concat(*(found(text, *kind) for kind in BASE)))
-
-    any_weak = F.lit(False)
-    for _, pattern in WEAK:
-        any_weak = any_weak | text.rlike(pattern)
-    parts = keyed.where(any_weak).select(F.col(key).alias("key"), text.alias("text")).distinct()
-    everything = F.concat(*(found(F.col("text"), *kind) for kind in BASE), *(found(F.col("text"), *kind) for kind in WEAK))
-    parts = parts.select("key", F.inline(everything))
-    linked = link(parts, scope).groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
-    joined = marked.join(linked.withColumnRenamed("key", key).withColumnRenamed("linked", f"{base}_linked"), key, "left")
-    spans = F.array_sort(F.concat(base, F.coalesce(f"{base}_linked", F.array().cast(SPAN))))
+    guard = text.rlike(GUARD)
+    keyed = rest.where(guard).withColumn(key, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text_col)), F.hex(F.xxhash64(F.lit(1), text_col))))
+    parts = written(keyed.select(F.col(key).alias("key"), parts_of(text).alias("parts")).where(F.size("parts") > 0).dropDuplicates(["key"]), "secrets-parts")
+    linked = link(parts.select("key", F.inline("parts")), scope).groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
+    base = F.filter("parts", lambda x: x["rank"] < len(BASE))
+    every = F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(SPAN))))
     names = F.array(*(F.lit(k) for k in KINDS))
-    named = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.element_at(names, x["rank"] + 1).alias("kind"), x["end"].alias("end")))
-    return joined.withColumn(result_col, named).select(*rest.columns, result_col)
+    named = F.transform(every, lambda x: F.struct(x["start"].alias("start"), F.element_at(names, x["rank"] + 1).alias("kind"), x["end"].alias("end")))
+    judged = parts.join(linked, "key", "left").select(F.col("key").alias(key), named.alias(spans)).where(F.size(spans) > 0)
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    some = keyed.join(judged, key, "left").withColumn(result_col, F.coalesce(spans, none)).select(*rest.columns, result_col)
+    return some.unionByName(rest.where(~guard).withColumn(result_col, none))
 
 
 def link(parts: DataFrame, scope: int) -> DataFrame:

@@ -20,31 +20,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import free_name, shared_dir, table, written
 
-CELLS = 1 << 20
+#: The finest buckets; at 16 MB each they hold 268 TB.
+CELLS = 1 << 24
 
 
 def shard(docs: DataFrame, shards: int, path: str, *, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
     """Write `docs` to `path` in folders shard=0..shards-1, each row with its slot, and read them again."""
+    rest = docs.drop("shard", "slot")
+    hashed, cell, bucket, row, place, before, order = (free_name(rest, f"_{x}") for x in ("hash", "cell", "bucket", "row", "place", "before", "order"))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    sized = docs.drop("shard", "slot").withColumn("_hash", F.xxhash64(F.lit(seed), id_col, text_col)).withColumn("_cell", F.pmod("_hash", F.lit(CELLS)))
-    cells = written(sized.groupBy("_cell").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")), "shard-cells")
+    sized = rest.withColumn(hashed, F.xxhash64(F.lit(seed), id_col, text_col)).withColumn(cell, F.pmod(hashed, F.lit(CELLS)))
+    cells = written(sized.groupBy(F.col(cell).alias("cell")).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")), "shard-cells")
     rows, total = cells.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     buckets = min(CELLS, max(1, -(-total // bucket_bytes)))
-    bucket = F.floor(F.col("_cell") * buckets / CELLS)
-
-    counts = cells.groupBy(bucket.alias("_bucket")).agg(F.sum("rows").alias("rows"))
-    before = F.sum("rows").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    places = counts.withColumn("_before", F.coalesce(before, F.lit(0))).repartition("_bucket")
-    permutations = written(places.select("_bucket", "_before", F.shuffle(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int")), seed).alias("_order")), "shard-orders")
-
-    scattered = sized.withColumn("_bucket", bucket)
-    placed = scattered.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", id_col))).join(permutations, "_bucket")
-    placed = placed.withColumn("_place", F.col("_before") + F.element_at("_order", F.col("_row")))
-    number = F.expr(f"_place * {shards} div {max(rows, 1)}")
-    out = placed.withColumn("shard", number.cast("int")).withColumn("slot", F.col("_place") - F.expr(f"(shard * {rows} + {shards - 1}) div {shards}"))
-    out = out.select(*docs.drop("shard", "slot").columns, "slot", "shard")
+    number = lambda c: F.floor(F.col(c) * buckets / CELLS)
+
+    counts = cells.groupBy(number("cell").alias(bucket)).agg(F.sum("rows").alias("rows"))
+    earlier = F.sum("rows").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))  # one row a bucket
+    places = counts.withColumn(before, F.coalesce(earlier, F.lit(0))).repartition(bucket)
+    permutations = written(places.select(bucket, before, F.shuffle(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int")), seed).alias(order)), "shard-orders")
+
+    scattered = sized.withColumn(bucket, number(cell))
+    placed = scattered.withColumn(row, F.row_number().over(Window.partitionBy(bucket).orderBy(hashed, id_col))).join(permutations, bucket)
+    placed = placed.withColumn(place, F.col(before) + F.element_at(order, F.col(row)))
+    shard_of = F.expr(f"{place} * {shards} div {max(rows, 1)}").cast("int")
+    out = placed.withColumn("shard", shard_of).withColumn("slot", F.col(place) - F.expr(f"(shard * {rows} + {shards - 1}) div {shards}"))
+    out = out.select(*rest.columns, "slot", "shard")
     out.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 

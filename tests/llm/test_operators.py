@@ -182,6 +182,10 @@ def test_bpe_is_the_library_s(docs, plain):
     for text, ids in zip(texts, mine.encode(texts, regex.compile(bpe.PATTERN))):
         expected = theirs.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == expected and mine.decode(ids) == theirs.decode(expected, skip_special_tokens=False)
+    rng = np.random.default_rng(7)
+    for letters, size in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("etaoin", 9000), ("aab", 3000), ("-=", 3000), ("aeé日本", 9000), ("a", 5001)):
+        word = "".join(rng.choice(list(letters), size))
+        assert np.frombuffer(mine.encode([word], regex.compile(bpe.PATTERN))[0], "<u4").tolist() == theirs.encode(word, add_special_tokens=False).ids
     out = bpe.decode(bpe.encode(docs, path), path)
     assert out.where(F.col("decoded") != F.coalesce("text", F.lit(""))).count() == 0 and out.count() == docs.count()
     assert bpe.encode(docs.limit(0), path).count() == 0
@@ -228,6 +232,13 @@ def test_language_id(spark, docs):
     assert langid.predict(docs, model.limit(0)).where("lang_pred <> 'und'").count() == 0 and langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_many_languages(spark):
+    rows = [(i, f"w{i}x w{i}y w{i}z " * 3, f"l{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = {r.doc_id: r.lang_pred for r in langid.predict(df.where("doc_id < 40"), langid.train(df)).collect()}
+    assert len(found) == 40 and langid.buckets_for(700) == 32_768 and langid.buckets_for(10**9) == 256
+
+
 # --- 7
 def brute_repeats(rows, length, first=False):
     texts = [(t or "").encode() for _, t in rows]
@@ -295,6 +306,17 @@ def test_sharding(docs, plain, tmp_path):
         by.setdefault(r.shard, []).append(r.slot)
     assert sorted(by) == [0, 1, 2, 3] and all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shard(docs.limit(0), 4, f"file://{tmp_path}/t").count() == 0
+    clash = docs.select("doc_id", "text", *(F.lit(x).alias(x) for x in ("_hash", "_cell", "_before", "_order", "_bucket", "_row", "_place", "slot")))
+    again = sharding.shard(clash, 3, f"file://{tmp_path}/u", bucket_bytes=300)
+    assert {(r._hash, r._before, r._order, r._row) for r in again.collect()} == {("_hash", "_before", "_order", "_row")} and again.count() == docs.count()
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [(1, "é"), (2, None), (3, ""), (4, "abc"), (5, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {r.doc_id: r for r in sharding.query(spark, str(tmp_path)).collect()}
+    assert all((made[i].size, made[i].text_crc32, made[i].law, made[i].grown_shard) == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows)
+    assert all(r.slot == 0 for r in made.values()) and len({r.shard for r in made.values()}) == 5
 
 
 # --- 9
@@ -315,6 +337,18 @@ def test_secrets(spark, docs, plain):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_parts_too_short_alone_are_linked(spark):
+    texts = {
+        1: "AKIAABCDEFGH then token=abc12 here", 2: "AKIAABCDEFGH alone", 3: "token=abc12 alone", 4: "vault.example.com passwd: a1 ok", 5: "0123456789abcdef on db7.internal:5432", 6: "mail ann@mail.example.com says 0123456789abcdef",
+        7: " ".join(f"{'é' * (i % 3)} token=abcdefg{i}" for i in range(3000)),
+    }
+    made = {r.doc_id: r.secrets for r in secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: [(x["kind"], texts[i][x["start"] : x["end"]]) for x in made[i]] for i in range(1, 7)} == {
+        1: [("link_access", "AKIAABCDEFGH"), ("link_assign", "token=abc12")], 2: [], 3: [], 4: [("link_endpoint", "vault.example.com"), ("link_assign", "passwd: a1")], 5: [("link_hex", "0123456789abcdef"), ("link_endpoint", "db7.internal:5432")], 6: [],
+    }
+    assert [texts[7][x["start"] : x["end"]] for x in made[7]] == [f"token=abcdefg{i}" for i in range(3000)]
+
+
 def test_weak_parts_need_their_complement(spark):
     weak = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0LzXc"
     texts = {1: f"client_id = myclient77 and {weak}", 2: f"only {weak}", 3: f"client_id = myclient77 {'pad ' * 200} {weak}", 4: f"https://api.example.com/x uses {weak}", 5: "https://api.example.com/x client_id = myclient77"}
