@@ -7,13 +7,16 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Whole texts go to Python in batches of 2,000 rows unless the session says otherwise, which bounds a task's memory."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,8 +94,8 @@ def maybe_in(keys: DataFrame, key: Column, most: int = 1 << 24) -> Column | None
         return None
     bitmap = keys.sparkSession.sparkContext.broadcast(key_bits(keys, min(27, max(16, (16 * n).bit_length()))))
 
-    @F.pandas_udf("boolean")
-    def inside(values: pd.Series) -> pd.Series:
-        return pd.Series(in_bits(values.to_numpy(np.int64), bitmap.value))
+    @F.arrow_udf("boolean")
+    def inside(values: pa.Array) -> pa.Array:
+        return pa.array(in_bits(np.asarray(values), bitmap.value))
 
     return inside(key)

@@ -61,7 +61,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(bounds: np.ndarray, limit: int = 1 << 21, most: int = 1 << 30):
+def pieces(bounds: np.ndarray, limit: int = 1 << 19, most: int = 1 << 30):
     """Row ranges (low, high) of at most `limit` bytes and `most` rows, or of one longer row."""
     low, rows = 0, len(bounds) - 1
     while low < rows:

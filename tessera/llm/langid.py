@@ -173,7 +173,7 @@ def predict(docs: DataFrame, counts: DataFrame, *, text_col: str = "text", penal
         raise ValueError(f"{n_langs} languages are more than {CELLS // 256}")
     folded = counts.groupBy("lang", (F.col("bucket") % buckets_for(n_langs)).alias("bucket")).agg(F.sum("n").alias("n"))  # at most CELLS rows
     shared = docs.sparkSession.sparkContext.broadcast(Mixture(folded.toArrow()))
-    piece = max(1 << 14, (1 << 23) // max(n_langs, 4))  # a task holds a number for each word and language
+    piece = max(1 << 13, (1 << 21) // max(n_langs, 4))  # a task holds a number for each word and language
     source = docs.drop("lang_pred", "score", "languages")
     text_at, width = [c.lower() for c in source.columns].index(text_col.lower()), len(source.columns)
     out = source.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "languages": F.lit(None).cast("map<string,double>")})

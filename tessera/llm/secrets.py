@@ -35,8 +35,8 @@ WEAK = [
 ]
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "link_assign": "secret", "link_access": "identifier", "link_hex": "secret", "link_id": "identifier", "link_secret": "secret", "link_endpoint": "endpoint"}
 KINDS = list(ROLES)
-#: A text without any of these has no span: each base kind and each secret, which every link needs, holds one.
-GUARD = r"(?i:pass(?:word|wd)|secret|token|api_?key)|AKIA|[0-9a-f]{12}|[A-Za-z0-9+/_-]{32}"
+#: A text in which none of these is has no span: each base kind and each secret, which every link needs, holds one.
+GUARDS = [r"(?i:pass(?:word|wd)|secret|token|api_?key)", r"AKIA", r"[0-9a-f]{12}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}"]
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -76,25 +76,31 @@ def parts_of(text: Column) -> Column:
     return F.concat(*strong, *(found(text, pattern, 0, [(1, KINDS.index(kind))]) for kind, pattern in WEAK))
 
 
-def scan(docs: DataFrame, *, scope: int = 200, id_col: str = "doc_id", text_col: str = "text", result_col: str = "secrets") -> DataFrame:
+def scan(docs: DataFrame, *, scope: int = 200, id_col: str = "doc_id", text_col: str = "text", result_col: str = "secrets", most: int = 200_000) -> DataFrame:
     """Add `result_col`: all spans (start, kind, end), base and linked, by start and then kind.
 
-    Texts that the guard clears have none and go by; of the others only keys and parts are joined with what links them.
+    Texts are scanned once and only keys and parts are joined with what links them. The spans of up to `most` texts are
+    then broadcast to the documents; more of them meet those documents that pass the guards again, and no others are moved.
     """
     rest = docs.drop(result_col)
     key, spans = free_name(rest, "_key"), free_name(rest, "_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    guard = text.rlike(GUARD)
-    keyed = rest.where(guard).withColumn(key, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text_col)), F.hex(F.xxhash64(F.lit(1), text_col))))
-    parts = written(keyed.select(F.col(key).alias("key"), parts_of(text).alias("parts")).where(F.size("parts") > 0).dropDuplicates(["key"]), "secrets-parts")
+    guard = F.lit(False)
+    for pattern in GUARDS:
+        guard = guard | text.rlike(pattern)
+    keyed = rest.withColumn(key, F.struct(F.xxhash64(id_col, text_col).alias("x"), F.xxhash64(F.lit(1), text_col, id_col).alias("y")))
+    parts = written(keyed.where(guard).select(F.col(key).alias("key"), parts_of(text).alias("parts")).where(F.size("parts") > 0).dropDuplicates(["key"]), "secrets-parts")
     linked = link(parts.select("key", F.inline("parts")), scope).groupBy("key").agg(F.collect_list(F.struct("start", "rank", "end")).alias("linked"))
     base = F.filter("parts", lambda x: x["rank"] < len(BASE))
     every = F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(SPAN))))
     names = F.array(*(F.lit(k) for k in KINDS))
     named = F.transform(every, lambda x: F.struct(x["start"].alias("start"), F.element_at(names, x["rank"] + 1).alias("kind"), x["end"].alias("end")))
-    judged = parts.join(linked, "key", "left").select(F.col("key").alias(key), named.alias(spans)).where(F.size(spans) > 0)
+    judged = written(parts.join(linked, "key", "left").select(F.col("key").alias(key), named.alias(spans)).where(F.size(spans) > 0), "secrets-spans")
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
-    some = keyed.join(judged, key, "left").withColumn(result_col, F.coalesce(spans, none)).select(*rest.columns, result_col)
+    count, longest = judged.agg(F.count("*"), F.max(F.size(spans))).first()
+    if count * max(100, longest or 0) <= 100 * most:
+        return keyed.join(F.broadcast(judged), key, "left").withColumn(result_col, F.coalesce(spans, none)).select(*rest.columns, result_col)
+    some = keyed.where(guard).join(judged, key, "left").withColumn(result_col, F.coalesce(spans, none)).select(*rest.columns, result_col)
     return some.unionByName(rest.where(~guard).withColumn(result_col, none))
 
 
