@@ -117,7 +117,7 @@ class Vocabulary:
             symbols, owner = symbols[going], owner[going]
         return out
 
-    def encode(self, texts: list[str], pattern, limit: int = 200_000) -> list[bytes]:
+    def encode(self, texts: list[str], pattern, limit: int = 50_000) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         rows = [[pattern.findall(part) for part in self._split(text)] for text in texts]
         new = list({w for row in rows for part in row for w in part if w not in self.cache})
@@ -166,42 +166,50 @@ def _with(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.drop(column).withColumn(column, F.lit(None).cast(kind))
 
 
-def _mapped(df: DataFrame, source: str, target: str, arrow: pa.DataType, make) -> DataFrame:
-    """`df` with `target`, made from `source` by make(batch column) -> list."""
-    source_at, target_at = [c.lower() for c in df.columns].index(source.lower()), df.columns.index(target)
+def _mapped(df: DataFrame, source: str, targets: list[str], make) -> DataFrame:
+    """`df` with `targets`, made from `source` by make()(batch column) -> one array each."""
+    source_at, at = [c.lower() for c in df.columns].index(source.lower()), [df.columns.index(t) for t in targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            column = pa.array(work(batch.column(source_at)), arrow)
-            yield pa.RecordBatch.from_arrays([column if i == target_at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+            made = dict(zip(at, work(batch.column(source_at))))
+            yield pa.RecordBatch.from_arrays([made.get(i, batch.column(i)) for i in range(batch.num_columns)], names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
 
-def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Add `ids_col`: the ids as little-endian unsigned 32-bit integers in one binary value.
 
-    `tokenizer` is the path of a byte-level BPE file, read once here and broadcast.
+    `tokenizer` is the path of a byte-level BPE file, read once here and broadcast. With `decoded_col`, the ids are also
+    decoded again in the same pass.
     """
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
+    out = _with(df, ids_col, "binary")
+    if decoded_col:
+        out = _with(out, decoded_col, "string")
 
     def make():
         import regex
 
         vocabulary, pattern = shared.value, regex.compile(PATTERN)
 
-        def work(column: pa.Array) -> list[bytes]:
+        def work(column: pa.Array) -> list[pa.Array]:
             data, bounds = fl.flat(column)
-            out: list[bytes] = []
-            for low, high in fl.pieces(bounds, 1 << 20):
+            ids: list[pa.Array] = []
+            decoded: list[pa.Array] = []
+            for low, high in fl.pieces(bounds):
                 texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(bounds[low:high].tolist(), bounds[low + 1 : high + 1].tolist())]
-                out += vocabulary.encode(texts, pattern)
-            return out
+                found = vocabulary.encode(texts, pattern)
+                ids.append(pa.array(found, pa.binary()))
+                if decoded_col:
+                    decoded.append(pa.array([vocabulary.decode(x) for x in found], pa.string()))
+            return [pa.chunked_array(x, kind).combine_chunks() for x, kind in ((ids, pa.binary()), (decoded, pa.string()))][: 1 + bool(decoded_col)]
 
         return work
 
-    return _mapped(_with(df, ids_col, "binary"), text_col, ids_col, pa.binary(), make)
+    return _mapped(out, text_col, [ids_col, decoded_col] if decoded_col else [ids_col], make)
 
 
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -209,9 +217,9 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
 
     def make():
-        return lambda column: [shared.value.decode(ids) if ids else "" for ids in column.to_pylist()]
+        return lambda column: [pa.array([shared.value.decode(ids) if ids else "" for ids in column.to_pylist()], pa.string())]
 
-    return _mapped(_with(df, text_col, "string"), ids_col, text_col, pa.string(), make)
+    return _mapped(_with(df, text_col, "string"), ids_col, [text_col], make)
 
 
 def default_tokenizer() -> str:
@@ -223,6 +231,5 @@ def default_tokenizer() -> str:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path).select("doc_id", "ids")
-    out = decode(ids, path)
+    out = encode(docs, path, decoded_col="decoded")
     return out.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
