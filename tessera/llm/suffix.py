@@ -118,13 +118,13 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
             start = np.maximum(at - (length - gram), 0)
             end = np.minimum(at + length, np.diff(bounds)[row])
             keys = np.asarray(batch.column(0))
-            for low in range(0, len(row), 8192):
-                part = slice(low, low + 8192)
+            for low in range(0, len(row), 2048):
+                part = slice(low, low + 2048)
                 first, size = bounds[row[part]] + start[part], (end - start)[part]
                 offsets = np.append(0, np.cumsum(size))
                 flat = data[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
                 found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
-                columns = [h.slice(low, 8192), pa.array(keys[row[part]]), pa.array(start[part].astype(np.int32)), pa.array((at - start)[part].astype(np.int32)), alone.slice(low, 8192), found]
+                columns = [h.slice(low, 2048), pa.array(keys[row[part]]), pa.array(start[part].astype(np.int32)), pa.array((at - start)[part].astype(np.int32)), alone.slice(low, 2048), found]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "base", "own", "alone", "bytes"])
 
     return texts.join(per_key, "key").select("key", "text", "places").mapInArrow(cut, CONTEXT)
@@ -283,7 +283,8 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "non
     first = keep == "first"
     h, hc = Window.partitionBy("h"), Window.partitionBy("h", "c")
     place = F.struct("key", "pos")
-    met = anchors(docs, length, gram).withColumn("same", F.min(place).over(hc) != F.max(place).over(hc)).withColumn("nth", F.row_number().over(hc.orderBy("key", "pos")))
+    met = anchors(docs, length, gram).withColumn("n", F.count("*").over(h)).where("n > 1").drop("n")  # the shuffle by h serves all windows
+    met = met.withColumn("same", F.min(place).over(hc) != F.max(place).over(hc)).withColumn("nth", F.row_number().over(hc.orderBy("key", "pos")))
     met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(h)).drop("c")
     met = written(met.where("same OR kinds > 1"), "suffix-anchors")
 
@@ -306,10 +307,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 50, keep:
     plain = keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text"))
     found = written(repeats(plain.where(F.octet_length("text") >= length), length, gram, keep), "suffix-spans").withColumnRenamed("key", key).withColumnRenamed("spans", spans)
     may_have = maybe_in(found.select(key), F.col(key))  # other texts keep all and are not moved
-    joined = keyed.join(found, key, "left") if may_have is None else keyed.where(may_have).join(found, key, "left").unionByName(keyed.where(~may_have).withColumn(spans, F.lit(None).cast(found.schema[spans].dataType)))
-    out = joined.withColumns({"kept": F.lit(None).cast("binary"), "n_bytes": F.lit(None).cast("long"), "removed": F.lit(None).cast("array<struct<start:long,end:long>>")})
-    text_at, spans_at, width = out.columns.index(_exact(out, text_col)), out.columns.index(spans), len(out.columns) - 3
+    joined = keyed.join(found, key, "left") if may_have is None else keyed.where(may_have).join(found, key, "left")
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    removed = "array<struct<start:bigint,end:bigint>>"
+    out = joined.withColumns({"kept": F.lit(None).cast("binary"), "n_bytes": F.lit(None).cast("long"), "removed": F.lit(None).cast(removed)})
+    text_at, spans_at, width = out.columns.index(_exact(out, text_col)), out.columns.index(spans), len(out.columns) - 3
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +330,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 50, keep:
                 removed.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, arrow)], names=batch.schema.names)
 
-    return out.mapInArrow(cut, out.schema).select(*rest.columns, "kept", "n_bytes", "removed")
+    judged = out.mapInArrow(cut, out.schema).select(*rest.columns, "kept", "n_bytes", "removed")
+    if may_have is None:
+        return judged
+    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    whole = keyed.where(~may_have).select(*rest.columns, body.alias("kept"), F.octet_length(body).cast("long").alias("n_bytes"), F.array().cast(removed).alias("removed"))
+    return judged.unionByName(whole)
 
 
 def _numbered(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
