@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -362,13 +361,16 @@ def subtype_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS q FROM benchmark),
-s AS (SELECT item_id, p.p_partkey, len(list_intersect(q, list_distinct(list_filter(string_split_regex(lower(p.p_name || ' the and'), '[^\p{L}\p{N}]+'), lambda w: w <> '')))) / len(q) AS score FROM b, (SELECT * FROM part WHERE p_partkey % 100 = 0) AS p),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, p_partkey) AS rank FROM s) SELECT item_id, p_partkey, round(score, 9) AS score, rank FROM r WHERE rank <= 5""")
+s AS (SELECT a.item_id, c.item_id AS other_id, len(list_intersect(a.q, c.q)) / len(a.q) AS score FROM b AS a JOIN b AS c ON a.item_id <> c.item_id WHERE len(list_intersect(a.q, c.q)) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other_id) AS rank FROM s) SELECT item_id, other_id, round(score, 9) AS score, rank FROM r WHERE rank <= 5""")
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item's five best of the stated candidate set (parts divisible by 100)."""
-    candidates = F.broadcast(table(spark, d, "part").where("p_partkey % 100 = 0").select("p_partkey", "p_name"))  # a stated set, the fixed candidate list of the request
-    pairs = table(spark, d, "benchmark").join(candidates).withColumn("score", lexical_score(F.col("text"), F.concat("p_name", F.lit(" the and"))))
-    return search.rerank(pairs, 5, "item_id", F.col("score"), "p_partkey").select("item_id", "p_partkey", F.round("score", 9).alias("score"), *_long("rank"))
+    """The five benchmark items nearest to each by words, of all that share one."""
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    word = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word")
+    shared = items.select("item_id", word).join(items.select(F.col("item_id").alias("other_id"), word), "word").where("item_id <> other_id").select("item_id", "other_id").distinct()
+    texts = shared.join(items, "item_id").join(items.select(F.col("item_id").alias("other_id"), F.col("text").alias("other")), "other_id")
+    pairs = texts.withColumn("score", lexical_score(F.col("text"), F.col("other")))
+    return search.rerank(pairs, 5, "item_id", F.col("score"), "other_id").select("item_id", "other_id", F.round("score", 9).alias("score"), *_long("rank"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------------------------
@@ -503,12 +505,14 @@ def window_avg_600s(spark: SparkSession, d: str) -> DataFrame:
     return streams.window_average(table(spark, d, "events"), "ts", "value").select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("average", 6).alias("average"), "n")
 
 
-@query()
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def stream_latest_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The latest event of each user, read as a stream and upserted batch by batch."""
     import uuid
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     where = f"{where.rstrip('/')}/tessera/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)

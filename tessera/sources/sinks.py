@@ -14,9 +14,9 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int | None = None) -> Non
 
 
 def write_records(df: DataFrame, path: str, condition: str, run_date: str) -> None:
-    """Rows as JSON in condition= and run_date= folders, NaN as null."""
+    """Rows as JSON in condition= and run_date= folders, NaN as null; folders of other conditions and dates stay."""
     plain = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in df.dtypes))
-    plain.withColumns({"condition": F.lit(condition), "run_date": F.lit(run_date)}).write.mode("overwrite").partitionBy("condition", "run_date").json(path)
+    plain.withColumns({"condition": F.lit(condition), "run_date": F.lit(run_date)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("condition", "run_date").json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

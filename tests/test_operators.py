@@ -205,3 +205,12 @@ def test_paged_source(spark, tmp_path):
     assert read.load().count() == 4  # the third page is missing: what was read is kept
     with pytest.raises(Exception):
         read.option("mode", "failfast").load().count()
+
+
+def test_records_of_other_conditions_stay(spark, tmp_path):
+    from tessera.sources.sinks import write_records
+
+    rows = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id long, x double")
+    for condition in ("diabetes", "breast_cancer", "diabetes"):
+        write_records(rows, str(tmp_path / "records"), condition, "2024-01-01")
+    assert {(r.condition, r["count"]) for r in spark.read.json(str(tmp_path / "records")).groupBy("condition").count().collect()} == {("diabetes", 2), ("breast_cancer", 2)}
