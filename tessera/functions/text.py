@@ -135,6 +135,22 @@ def trial_blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?=\*\*Trial\s+\d+)"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\*\*Trial\s+\d+"))
 
 
+#: Section headings of a recommendation that start a line.
+SECTIONS = ["VERDICT:", "Inclusion Criteria Check:", "Exclusion Criteria Check:", "Matched Criteria:", "Concerns:", "Intervention Summary:", "Clinical Rationale:"]
+
+
+def sectioned(text: Column) -> Column:
+    """A model's text without an echoed first label, each section heading and trial heading after a line end."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?i)^(output|prompt)\s*:\s*", "")
+    return F.regexp_replace(bare, "|".join([rf"\Q{s}\E" for s in SECTIONS] + [r"\*\*Trial\s+\d+"]), "\n$0")
+
+
+def verdict_block(trials: Column) -> Column:
+    """One line for each judged trial (nct_id, verdict, fitness_score, disqualifying_criterion)."""
+    line = lambda t: F.concat(F.lit("- "), t["nct_id"], F.lit("  ["), t["verdict"], F.lit("  "), t["fitness_score"].cast("string"), F.lit("/5]  "), F.coalesce(F.nullif(t["disqualifying_criterion"], F.lit("")), F.lit("no disqualifier")))
+    return F.array_join(F.transform(trials, line), "\n")
+
+
 def column_name(name: str) -> str:
     return name.strip().lower().replace(" ", "_").replace("-", "_")
 

@@ -136,6 +136,20 @@ def sweep_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
+def skipped(status: Column, reason: Column, trials: Column) -> Column:
+    """Why a result is not sent to a judge, as (summary, score_reasoning); null when it is."""
+    row = lambda summary, why: F.struct(F.lit(summary).alias("summary"), why.alias("score_reasoning"))
+    blocked = row("Evaluation skipped because the case was blocked by guardrails.", F.coalesce(F.nullif(reason, F.lit("")), F.lit("Blocked before evaluation.")))
+    empty = row("No retrieved trials available for evaluation.", F.lit("RAG produced zero reranked trials."))
+    return F.when(status == "blocked", blocked).when(trials.isNull() | (F.size(trials) == 0), empty)
+
+
+def latest_run(df: DataFrame, run: str) -> DataFrame:
+    """The rows of the last run by name."""
+    last = df.agg(F.max(run).alias("_last_run"))
+    return df.join(F.broadcast(last), F.col(run) == F.col("_last_run")).drop("_last_run")  # one row
+
+
 def by_trial_number(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two judges' (patient_id, trial, verdict) side by side."""
     other = second.select("patient_id", "trial", F.col("verdict").alias("second_verdict"))

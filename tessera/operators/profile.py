@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,8 @@ def distribution(df: DataFrame, value: str | Column, top: int | None = None) ->
 def distribution_with_pct(df: DataFrame, value: str) -> DataFrame:
     """Counts and shares, nulls under MISSING."""
     counts = df.groupBy(F.coalesce(F.col(value).cast("string"), F.lit("MISSING")).alias(value)).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    total = df.agg(F.count("*").alias("_total"))
+    return counts.join(F.broadcast(total)).select(value, "n", (F.col("n") / F.col("_total")).alias("pct"))  # one row
 
 
 def exploded(df: DataFrame, cell: str, separator: str = ";", name: str = "value") -> DataFrame:

@@ -71,13 +71,17 @@ def rerank(candidates: DataFrame, n: int, query: str, score: Column | None, *ord
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*keys))).where(F.col("rank") <= n).drop("_score")
 
 
-def match(patients: DataFrame, trials: DataFrame, index: DataFrame, *, retrieve: int = 15, keep: int = 5, model: Embed = hashed_words, recommend: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def match(patients: DataFrame, trials: DataFrame, index: DataFrame, *, retrieve: int = 15, keep: int = 5, model: Embed = hashed_words, recommend: Callable[[Column, Column], Column] | None = None, judge_input: Callable[[Column], Column] | None = None, judge_output: Callable[[Column, Column], Column] | None = None, guarded: bool = True) -> DataFrame:
     """The guarded matching of (patient_id, summary): input guard, redaction, retrieval, filters, rerank, output guards.
 
     trials: (nct_number, condition, study_title, conditions, disease, ...). Every patient gets one row (patient_id, status,
     stage, reason, trial ids, recommendation); a failed output guard replaces the recommendation and keeps the trials.
+    judge_input(summary) and judge_output(answer, trials) give a reason to refuse or null, after the rules have passed;
+    guarded=False leaves out all guards but the redaction.
     """
-    asked = patients.select("patient_id", F.col("summary").alias("original"), guards.redact_pii(F.col("summary")).alias("summary"), guards.pii_hits(F.col("summary")).alias("pii_hits"), guards.input_problem(F.col("summary")).alias("input_problem"))
+    checked = lambda *rules: F.coalesce(*rules) if guarded else F.lit(None).cast("string")
+    asks = [judge_input(F.col("summary"))] if judge_input else []
+    asked = patients.select("patient_id", F.col("summary").alias("original"), guards.redact_pii(F.col("summary")).alias("summary"), guards.pii_hits(F.col("summary")).alias("pii_hits"), checked(guards.input_problem(F.col("summary")), *asks).alias("input_problem"))
     open_ = asked.where("input_problem is null").withColumn("targets", classify.detect_conditions(F.col("summary")))
     open_ = embed(open_.withColumn("query", classify.retrieval_query(F.col("summary"), F.col("targets"))), "query", model)
     hits = nearest(open_, index, 3 * retrieve, query="patient_id")
@@ -96,7 +100,8 @@ def match(patients: DataFrame, trials: DataFrame, index: DataFrame, *, retrieve:
         "answer": guards.with_disclaimer(recommend(F.col("summary"), F.col("trials")) if recommend else F.array_join(listed, "\n")),
     })
     out = out.withColumns({
-        "retrieval": guards.retrieval_problem(F.col("ids")), "scope": guards.scope_problem(F.col("scopes")), "output": F.coalesce(guards.output_problem(F.col("answer")), guards.grounding_problem(F.col("answer"), F.col("ids"), F.col("titles"))),
+        "retrieval": checked(guards.retrieval_problem(F.col("ids"))), "scope": checked(guards.scope_problem(F.col("scopes"))),
+        "output": checked(guards.output_problem(F.col("answer")), guards.grounding_problem(F.col("answer"), F.col("ids"), F.col("titles")), *([judge_output(F.col("answer"), F.col("trials"))] if judge_output else [])),
     })
     steps = [("input", "input_problem"), ("retrieval", "retrieval"), ("scope", "scope"), ("output", "output")]
     stage = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(name)) for name, c in steps), F.lit("none"))

@@ -19,6 +19,12 @@ def write_records(df: DataFrame, path: str, condition: str, run_date: str) -> No
     plain.withColumns({"condition": F.lit(condition), "run_date": F.lit(run_date)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("condition", "run_date").json(path)
 
 
+def upload_counts(df: DataFrame, *ids: str) -> DataFrame:
+    """One row: how many records have an id in one of the columns, and how many are skipped for want of one."""
+    known = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ids)).isNotNull()
+    return df.agg(F.count_if(known).alias("uploaded"), F.count_if(~known).alias("skipped"))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row report as one JSON document."""
     report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

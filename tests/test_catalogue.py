@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, trials  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -214,3 +214,15 @@ def test_records_of_other_conditions_stay(spark, tmp_path):
     for condition in ("diabetes", "breast_cancer", "diabetes"):
         write_records(rows, str(tmp_path / "records"), condition, "2024-01-01")
     assert {(r.condition, r["count"]) for r in spark.read.json(str(tmp_path / "records")).groupBy("condition").count().collect()} == {("diabetes", 2), ("breast_cancer", 2)}
+
+
+def test_matching_with_judges_and_without_guards(spark):
+    t = [("NCT00000001", "diabetes", "Metformin in type 2 diabetes", "type 2 diabetes", "diabetes")]
+    df = spark.createDataFrame(t, "nct_number string, condition string, study_title string, conditions string, disease string")
+    people = spark.createDataFrame([("a", "A 50-year-old female diagnosed with type 2 diabetes. HbA1c 8%."), ("b", "What is the weather?")], "patient_id string, summary string")
+    index = search.trial_index(df)
+    asked = search.match(people, df, index, judge_input=lambda s: F.when(s.contains("HbA1c"), "judge says no"))
+    assert {r.patient_id: (r.stage, r.reason) for r in asked.collect()} == {"a": ("input", "judge says no"), "b": ("input", "Input lacks sufficient clinical structure")}
+    judged = search.match(people, df, index, judge_output=lambda answer, trials: F.lit("unsafe")).where("patient_id = 'a'").first()
+    assert (judged.stage, judged.reason, judged.trials) == ("output", "unsafe", ["NCT00000001"])
+    assert {r.status for r in search.match(people, df, index, guarded=False).collect()} == {"passed"}
