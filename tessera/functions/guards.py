@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Personal data, in the order of replacement.
 PII = [
     ("email", r"\b[\w\.-]+@[\w\.-]+\.\w+\b"),
@@ -29,14 +31,21 @@ DISCLAIMER = (
 )
 
 
+#: What a text must hold for the pattern of that name to occur: a cheap look before the search.
+_HINTS = {"email": "@", "phone": r"\d{4}", "ssn": r"\d{4}", "dob": "(?i)dob|date of birth"}
+
+
 def pii_hits(text: Column) -> Column:
     """A map of counts on the original text."""
-    return F.create_map(*(x for name, pattern in PII for x in (F.lit(name), F.regexp_count(text, F.lit(f"(?i){pattern}")))))
+    return F.create_map(*(x for name, pattern in PII for x in (F.lit(name), F.when(text.isNull() | text.rlike(_HINTS[name]), F.regexp_count(text, F.lit(f"(?i){pattern}"))).otherwise(0))))
 
 
 def redact_pii(text: Column) -> Column:
+    def without(name: str, pattern: str):
+        return lambda t: F.when(t.rlike(_HINTS[name]), F.regexp_replace(t, f"(?i){pattern}", f"[REDACTED_{name.upper()}]")).otherwise(t)
+
     for name, pattern in PII:
-        text = F.regexp_replace(text, f"(?i){pattern}", f"[REDACTED_{name.upper()}]")
+        text = bound(text, without(name, pattern))
     return text
 
 
