@@ -8,10 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free(name: str, *tables: DataFrame) -> str:
+    """`name`, with underscores put before it while a table has a column of that name."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_first(df: DataFrame, key: str | Column, order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in order; nulls are one key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    w, nth = Window.partitionBy(key).orderBy(*order), free("_nth", df)
+    return df.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
 
 
 def enrich(df: DataFrame, disease: str, classifier, conditions: str = "Conditions", key: str = "NCT Number", order: str = "_ord") -> DataFrame:
@@ -21,17 +29,19 @@ def enrich(df: DataFrame, disease: str, classifier, conditions: str = "Condition
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: Sequence[str | Column]) -> DataFrame:
     """The latest row of each key of both tables; new rows win ties and rows without a key are skipped."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True).where(F.col(key).isNotNull())
+    late, nth = free("_new", old, new), free("_nth", old, new)
+    both = old.withColumn(late, F.lit(0)).unionByName(new.withColumn(late, F.lit(1)), allowMissingColumns=True).where(F.col(key).isNotNull())
     order = [(F.col(v) if isinstance(v, str) else v).desc_nulls_last() for v in version]
-    w = Window.partitionBy(key).orderBy(*order, F.desc("_new"))
-    return both.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth", "_new")
+    w = Window.partitionBy(key).orderBy(*order, F.desc(late))
+    return both.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth, late)
 
 
 def set_flag(df: DataFrame, done: DataFrame, key: str, flag: str, as_of: Column, stamp: str | None = None) -> DataFrame:
     """`flag` set for the keys in `done`."""
-    marks = done.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_done", F.lit(True))
-    out = df.join(marks, key, "left").withColumn(flag, F.coalesce("_done", F.col(flag), F.lit(False)))
-    return (out.withColumn(stamp, F.when("_done", as_of).otherwise(F.col(stamp) if stamp in df.columns else F.lit(None))) if stamp else out).drop("_done")
+    mark = free("_done", df)
+    marks = done.select(key).where(F.col(key).isNotNull()).distinct().withColumn(mark, F.lit(True))
+    out = df.join(marks, key, "left").withColumn(flag, F.coalesce(mark, F.col(flag), F.lit(False)))
+    return (out.withColumn(stamp, F.when(F.col(mark), as_of).otherwise(F.col(stamp) if stamp in df.columns else F.lit(None))) if stamp else out).drop(mark)
 
 
 def not_done(df: DataFrame, flag: str) -> DataFrame:
@@ -51,10 +61,12 @@ def create(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def update(df: DataFrame, changes: DataFrame, key: str, kept: Sequence[str] = ()) -> DataFrame:
     """Changed rows replace those of their key, but for the columns in `kept`; unknown keys are ignored."""
-    other = changes.select(key, *(F.col(c).alias(f"_{c}") for c in changes.columns if c != key), F.lit(True).alias("_hit"))
+    names = {c: free(f"_new_{c}", df, changes) for c in changes.columns if c != key}
+    hit = free("_hit", df, changes)
+    other = changes.select(key, *(F.col(c).alias(n) for c, n in names.items()), F.lit(True).alias(hit))
     changed = {c for c in changes.columns if c != key} - set(kept)
     joined = df.join(other, key, "left")
-    return joined.select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns))
+    return joined.select(*(F.when(F.col(hit), F.col(names[c])).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns))
 
 
 def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -70,8 +82,8 @@ def lookup_first(wanted: DataFrame, docs: DataFrame, key: str, partition: str, r
     """The wanted keys' rows, from the first partition in the ranking that has them."""
     rank = F.array_position(F.array(*(F.lit(r) for r in ranking)), F.col(partition))
     found = docs.where(F.col(partition).isin(list(ranking))).join(wanted.select(key).distinct(), key)
-    w = Window.partitionBy(key).orderBy(rank)
-    return found.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    w, nth = Window.partitionBy(key).orderBy(rank), free("_nth", found)
+    return found.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
 
 
 def in_scope(df: DataFrame, disease: str, targets: Sequence[str]) -> DataFrame:

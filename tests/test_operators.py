@@ -226,3 +226,12 @@ def test_matching_with_judges_and_without_guards(spark):
     judged = search.match(people, df, index, judge_output=lambda answer, trials: F.lit("unsafe")).where("patient_id = 'a'").first()
     assert (judged.stage, judged.reason, judged.trials) == ("output", "unsafe", ["NCT00000001"])
     assert {r.status for r in search.match(people, df, index, guarded=False).collect()} == {"passed"}
+
+
+def test_keyed_tables_keep_columns_with_the_names_of_helpers(spark):
+    old = spark.createDataFrame([(1, "n", "w", "h", "d", False), (2, "n", "w", "h", "d", False)], "k int, _nth string, _new string, _hit string, _done string, flag boolean")
+    assert keyed.keep_first(old, "k", ["k"]).columns == old.columns
+    assert sorted(r._new for r in keyed.upsert(old, old.where("k = 1").withColumn("_new", F.lit("z")), "k", []).collect()) == ["w", "z"]
+    assert {r.k: (r.flag, r._done) for r in keyed.set_flag(old, old.where("k = 2"), "k", "flag", F.lit(None)).collect()} == {1: (False, "d"), 2: (True, "d")}
+    changed = keyed.update(old, old.where("k = 1").select("k", F.lit("x").alias("_nth"), F.lit("y").alias("_hit")), "k")
+    assert changed.columns == old.columns and {r.k: (r._nth, r._hit) for r in changed.collect()} == {1: ("x", "y"), 2: ("n", "h")}
