@@ -7,7 +7,7 @@ occurrences of one anchor. Anchors with one occurrence go; occurrences whose who
 of each kind meets the other kinds of its anchor in a task that builds their suffix array by
 prefix doubling. In suffix order, previous and next smaller positions give each suffix its
 longest earlier match (LPF), and greater ones its later match. Anchors with more than `most`
-kinds of contexts are settled by counting their windows instead, over all executors.
+kinds of contexts are settled by counting blocks of windows, then single windows, over all executors.
 
 keep="none" removes every byte under a window that starts anywhere else too; keep="first" keeps
 the first occurrence and removes windows that have an earlier match. Its order is that of `id_col`
@@ -247,33 +247,54 @@ def settled(found: DataFrame, length: int, first: bool, flush: int = 1 << 20) ->
     return slim.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
-def counted(found: DataFrame, length: int, gram: int, first: bool) -> DataFrame:
-    """The same for anchors with very many kinds of contexts: hashes of their windows are counted with partial sums."""
+def counted(found: DataFrame, length: int, gram: int, first: bool, width: int = 32) -> DataFrame:
+    """The same for anchors with very many kinds of contexts: hashes are counted with partial sums.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Up to `width` neighbouring windows, at fixed places around the anchor, make a block. Equal blocks settle their windows
+    together; only lone blocks and the first of each kind of equal ones are taken apart, and their windows counted.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
-                rows = list(zip(*(c.to_pylist() for c in batch.slice(low, 2000).columns)))
-                data, bounds = np.frombuffer(b"".join(r[5] for r in rows), np.uint8), np.append(0, np.cumsum([len(r[5]) for r in rows]))
+                part = batch.slice(low, 2000)
+                data, bounds = fl.flat(part.column("bytes"))
                 if len(data) < length:
                     continue
+                base, own = (np.asarray(part.column(c)).astype(np.int64) for c in ("base", "own"))
                 total, down = _sums(data)
                 start = np.arange(len(data) - length + 1)
                 row = np.searchsorted(bounds, start, "right") - 1
-                own = bounds[row] + np.array([r[3] for r in rows])[row]
-                fits = (start + length <= bounds[row + 1]) & (start <= own) & (start + length >= own + gram)
-                start, row = start[fits], row[fits]
+                back = bounds[row] + own[row] - start  # bytes of the window before the anchor
+                fits = (start + length <= bounds[row + 1]) & (back >= 0) & (back + gram <= length)
+                start, row, back = start[fits], row[fits], back[fits]
+                if not len(start):
+                    continue
                 hashes = fl.mix((total[start + length] - total[start]) * down[start])
-                place = start - bounds[row] + np.array([r[2] for r in rows])[row]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.array([r[1] for r in rows])[row]), pa.array(place.astype(np.int32)), pa.array(np.array([r[4] for r in rows])[row])], names=["w", "key", "start", "alone"])
+                edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (back[1:] // width != back[:-1] // width)))
+                sizes = np.diff(np.append(edge, len(start)))
+                begin, end = start[edge], start[edge] + sizes - 1 + length
+                block = fl.mix((total[end] - total[begin]) * down[begin] + back[edge].astype(np.uint64) * fl.PLACES[0] + sizes.astype(np.uint64) * fl.PLACES[1])
+                who = pa.array(row[edge])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(start)).astype(np.int32)), pa.array(hashes.view(np.int64)))
+                columns = [pa.array(block.view(np.int64)), part.column("key").take(who), pa.array((begin - bounds[row[edge]] + base[row[edge]]).astype(np.int32)), part.column("alone").take(who), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "key", "start", "alone", "windows"])
 
-    each = found.mapInArrow(windows, "w long, key long, start int, alone boolean")
     place = F.struct("key", "start")
+    blocks = written(found.mapInArrow(cut, "block long, key long, start int, alone boolean, windows array<long>"), "suffix-blocks")
+    several = blocks.groupBy("block").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").drop("most")
+    judged = blocks.join(several, "block", "left")
+    later = F.coalesce(place > F.col("least"), F.lit(False))
+    covered = judged.where(F.col("alone") & (later if first else F.col("least").isNotNull()))
+    together = covered.select("key", "start", (F.col("start") + F.size("windows") - 1 + length).cast("int").alias("end"))
+
+    each = judged.where(~later).select("key", F.col("start").alias("from"), "alone", F.posexplode("windows").alias("nth", "w"))
+    each = each.select("w", "key", (F.col("from") + F.col("nth")).alias("start"), "alone")
     ends = each.groupBy("w").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most")
     hit = each.where("alone").join(ends, "w")
-    hit = hit.where(F.struct("key", "start") > F.col("least")) if first else hit
+    hit = hit.where(place > F.col("least")) if first else hit
     islands = hit.select("key", "start").distinct().withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy("key").orderBy("start")))
-    return islands.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).cast("int").alias("end")).select("key", "start", "end")
+    return together.unionByName(islands.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).cast("int").alias("end")).select("key", "start", "end"))
 
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 4096) -> DataFrame:
