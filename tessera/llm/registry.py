@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, suffix, toxicity
+from . import align, bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, suffix, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_secrets": secrets.query,
     "op10_quality": quality.query,
+    "op11_alignment": align.query,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
