@@ -22,6 +22,7 @@ that bears the name of the result column is replaced. A document's distinct pair
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -38,8 +39,8 @@ from .common import table, written
 _LINKS = 1 << 20
 #: A space with what stands up to the next space that follows no white space.
 _SEGMENT = r" \s*\S*(?:[^\S ]\s*\S*)*"
-_CACHED = 100_000
-_LONGEST = 200
+#: Segments, and characters of them, that a task knows before it starts anew.
+_CACHED, _CHARACTERS = 300_000, 8_000_000
 _PAIRS = "pairs binary, times binary"
 _SUMS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
@@ -86,26 +87,45 @@ class _Worker:
         self.of, self.b = aligner, aligner.processor()
         self.pattern, self.segment = regex.compile(PATTERN), regex.compile(_SEGMENT)
         self.space = [self.b.piece_to_id("▁")]  # of a last space that stands alone: the model adds none to an empty text
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.entries = [_Entries([p or b"" for p in aligner.a.pieces]), _Entries(aligner.b_pieces)]
         self.pairs = len(aligner.a.pieces) * len(aligner.b_pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of each segment
+        self.words: dict[str, np.ndarray] = {}
+        self.held = [(np.zeros(1, np.int64), np.zeros(0, np.int64)) for _ in range(2)]  # bounds of the segments' ids, ids
+        self.size = 0
+
+    def _learn(self, new: list[str]) -> None:
+        """Tokens of new segments, by one call of either tokenizer for all of them."""
+        parts = [self.pattern.findall(s) for s in new]
+        words = list({w for part in parts for w in part if w not in self.words})
+        self.words.update(zip(words, self.of.a.merge([w.encode() for w in words])))
+        ids = [self.words[w] for part in parts for w in part]
+        at = np.append(0, np.cumsum([len(x) for x in ids]))[np.append(0, np.cumsum([len(p) for p in parts]))]
+        rows = [x or self.space for x in self.b.encode([s[1:] for s in new], num_threads=1)]
+        sizes = np.array([len(x) for x in rows], np.int64)
+        made = [(np.diff(at), np.concatenate(ids)), (sizes, np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(sizes.sum())))]
+        self.held = [(np.append(bounds, bounds[-1] + np.cumsum(n)), np.append(flat, more)) for (bounds, flat), (n, more) in zip(self.held, made)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.size += sum(map(len, new))
 
     def tokens(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of all texts, and how many each has, for A and for B."""
         rows = [([] if not t else self.segment.findall(" " + t) if self.of.cuts else [" " + t]) for t in texts]
-        known, new = self.cache, list({s for row in rows for s in row if s not in self.cache})
-        if len(known) + len(new) > _CACHED:
-            known.clear()
-            new = list({s for row in rows for s in row})
-        a = self.of.a.encode(new, self.pattern)
-        b = [np.array(ids or self.space, "<u4").tobytes() for ids in self.b.encode([s[1:] for s in new], num_threads=1)]
-        made = dict(zip(new, zip(a, b)))
-        known.update((s, x) for s, x in made.items() if len(s) <= _LONGEST)
-        found = [[known[s] if s in known else made[s] for s in row] for row in rows]
+        segments = list(itertools.chain.from_iterable(rows))
+        if len(self.known) > _CACHED or self.size > _CHARACTERS:
+            self._forget()
+        if new := [s for s in dict.fromkeys(segments) if s not in self.known]:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, segments), np.int64, len(segments))
+        at = np.append(0, np.cumsum([len(row) for row in rows]))
         out = []
-        for side in (0, 1):
-            joined = [b"".join([x[side] for x in row]) for row in found]
-            out.append((np.frombuffer(b"".join(joined), "<u4").astype(np.int64), np.array([len(x) // 4 for x in joined], np.int64)))
+        for bounds, flat in self.held:
+            n = np.diff(bounds)[place]
+            upto = np.append(0, np.cumsum(n))
+            out.append((flat[np.repeat(bounds[place] - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[at])))
         return out
 
     def rows(self, texts: Sequence[str], data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
@@ -120,7 +140,8 @@ class _Worker:
         ends = [np.cumsum(self.entries[0].sizes[a]), np.cumsum(self.entries[1].sizes[b])]
         both = (np.bincount(ends[0], minlength=total + 1) > 0) & (np.bincount(ends[1], minlength=total + 1) > 0)
         cuts = np.flatnonzero(both)
-        of_group = [np.searchsorted(cuts, e) for e in ends]
+        upto = np.cumsum(both)
+        of_group = [upto[e - 1] for e in ends]
         in_a, in_b = (np.bincount(g, minlength=len(cuts)) for g in of_group)
         group_at = np.append(0, np.searchsorted(cuts, np.cumsum(sizes), "right"))
         linked = np.append(0, np.cumsum(in_a * in_b))
