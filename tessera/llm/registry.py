@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import align, bpe, chat, decontaminate, jaccard, langid, quality, secrets, sharding, suffix, toxicity
+from . import align, bpe, chat, decontaminate, jaccard, langid, privacy, quality, repair, secrets, sharding, suffix, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,9 +19,12 @@ QUERIES = {
     "op9_secrets": secrets.query,
     "op10_quality": quality.query,
     "op11_alignment": align.query,
+    "op12_privacy": privacy.query,
+    "op13_repair": repair.query,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op3_jaccard": jaccard.SQL,
     "op5_chat": chat.SQL,
+    "op13_repair": repair.SQL,
 }
