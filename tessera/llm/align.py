@@ -241,7 +241,7 @@ def pairs(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, text_col: str
     `pairs` are little-endian numbers a * (ids of B) + b, sorted; `times` says how often the document links each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Aligner.read(tokenizer_a, tokenizer_b))
-    source = docs.select(F.struct(*carry).alias("carried"), F.col(text_col).alias("text"))
+    source = docs.select((F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("carried"), F.col(text_col).alias("text"))
     kept = source.select("carried").schema.fields[0].dataType.simpleString()
     arrow = pa.schema([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
 
