@@ -27,11 +27,12 @@ BASE = [
 ]
 #: Matches that the lengths above drop are weak parts: kind, base kind, least length.
 SHORT = [("link_assign", "assign", 1), ("link_access", "access", 8), ("link_hex", "hex", 12)]
-#: Other weak parts by pattern. Roles: identifier, secret, endpoint.
+#: Other weak parts by pattern. Roles: identifier, secret, endpoint. A host has 127 labels at most, as names
+#: on the net do; Java matches a repeated group by recursion, so none here may repeat without a bound.
 WEAK = [
     ("link_id", r"(?i)(?:client|account|user|key|tenant)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,}"),
     ("link_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"),
-    ("link_endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?|(?<![A-Za-z0-9.@-])[a-z0-9-]++(?:\.[a-z0-9-]++)*\.(?:com|net|org|io|dev|cloud|internal|local)(?![A-Za-z0-9-])(?::[0-9]{2,5})?"),
+    ("link_endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{2,5})?(?:/[A-Za-z0-9._~/-]*)?|(?<![A-Za-z0-9.@-])[a-z0-9-]++(?:\.[a-z0-9-]++){0,125}\.(?:com|net|org|io|dev|cloud|internal|local)(?![A-Za-z0-9-])(?::[0-9]{2,5})?"),
 ]
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "link_assign": "secret", "link_access": "identifier", "link_hex": "secret", "link_id": "identifier", "link_secret": "secret", "link_endpoint": "endpoint"}
 KINDS = list(ROLES)
