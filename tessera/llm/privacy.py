@@ -292,5 +292,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), result_col="private")
     shown = lambda which: F.array_join(F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("private", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("private", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("private")).alias("spans"))
+    number = lambda kind: F.size(F.filter("private", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(number(k) for k in BASE), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("private")).alias("spans"))

@@ -1,5 +1,6 @@
 """Operator 12: base spans against plain patterns, disclosures against counts in memory, and texts that make patterns slow."""
 
+import hashlib
 import math
 import random
 import re
@@ -112,3 +113,14 @@ def test_texts_are_sanitised(spark):
                 assert r.clean == (r.text or "")
     assert privacy.sanitise(df.limit(0)).count() == 0
     assert privacy.sanitise(df.where("doc_id > 60 AND doc_id < 90")).where("size(private) > 0").count() == 0
+
+
+def test_query(spark):
+    found = privacy.query(spark, "/root/testdata/sf0.001")
+    assert dict(found.dtypes) == {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in found.collect():
+        spans = plain_spans(texts[r.doc_id])
+        shown = ",".join(f"{privacy.BASE[k]}:{s}:{e}" for k, s, e in spans)
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest() and r.spans.startswith(shown)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in spans) for i in range(4)]
