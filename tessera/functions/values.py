@@ -52,9 +52,14 @@ def json_field(block: Column, name: str, kind: str, default) -> Column:
     return F.coalesce(F.try_variant_get(block, f"$.{name}", kind), F.lit(default))
 
 
+def message_text(data: Column) -> Column:
+    """The text of a base64 message; null where it is none."""
+    return F.try_to_binary(data, F.lit("base64")).cast("string")
+
+
 def message_payload(data: Column, schema: str) -> Column:
-    """A base64 JSON message as a struct."""
-    return F.from_json(F.decode(F.unbase64(data), "UTF-8"), schema)
+    """A base64 JSON message as a struct; its fields are null where the message is none."""
+    return F.from_json(message_text(data), schema)
 
 
 def chunks(text: Column, size: int = 1200, overlap: int = 200) -> Column:

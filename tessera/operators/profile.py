@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.values import number
 
+from .quantiles import quantiles
+
 
 def family(kind: T.DataType) -> str:
     """bool, number, datetime or string."""
@@ -54,9 +56,10 @@ def exploded(df: DataFrame, cell: str, separator: str = ";", name: str = "value"
 
 
 def numeric_summary(df: DataFrame, value: str) -> DataFrame:
-    """mean, median, min, max and total of the cells that are numbers; no row when none is."""
+    """mean, median, min, max and total of the cells that are numbers; no row when none is. The median is selected beforehand."""
     x = df.select(number(F.col(value)).alias("x")).where("x is not null")
-    return x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.min("x").cast("long").alias("min"), F.max("x").cast("long").alias("max"), F.sum("x").alias("total")).where("n > 0")
+    median = F.lit(quantiles(x, F.col("x"), [0.5])[0]).cast("double").alias("median")
+    return x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), median, F.min("x").cast("long").alias("min"), F.max("x").cast("long").alias("max"), F.sum("x").alias("total")).where("n > 0")
 
 
 def substring_share(df: DataFrame, cell: str, word: str) -> DataFrame:
@@ -72,11 +75,11 @@ def keyword_groups(df: DataFrame, cell: str, groups: dict[str, str]) -> DataFram
 
 
 def outliers(df: DataFrame, value: str, order: str, first: int | None = 5, spread: float = 1.5) -> DataFrame:
-    """Values beyond `spread` interquartile ranges, the first ones in row order. Quartiles interpolate linearly."""
+    """Values beyond `spread` interquartile ranges, the first ones in row order. Quartiles interpolate linearly and are selected beforehand."""
     x = df.select(order, number(F.col(value)).alias("value")).where("value is not null")
-    q = x.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    width = (F.col("q3") - F.col("q1")) * spread
-    found = x.join(F.broadcast(q)).where((F.col("value") < F.col("q1") - width) | (F.col("value") > F.col("q3") + width)).select(order, "value")  # q is one row
+    q1, q3 = (F.lit(q).cast("double") for q in quantiles(x, F.col("value"), [0.25, 0.75]))
+    width = (q3 - q1) * spread
+    found = x.where((F.col("value") < q1 - width) | (F.col("value") > q3 + width))
     return found.orderBy(order).limit(first) if first else found
 
 

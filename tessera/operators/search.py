@@ -13,6 +13,8 @@ from tessera.functions.values import chunks, dot, unit
 from tessera.providers import Embed, embed, hashed_words, lexical_score
 
 from .keyed import keep_first, upsert
+from .numbering import fixed_batches
+from .vectors import VectorIndex
 
 
 def chunk_rows(docs: DataFrame, key: str, text: Column, size: int = 1200, overlap: int = 200) -> DataFrame:
@@ -22,12 +24,6 @@ def chunk_rows(docs: DataFrame, key: str, text: Column, size: int = 1200, overla
     return out.select(F.concat_ws("_", "parent_id", F.col("chunk_no").cast("string")).alias("id"), "parent_id", "chunk_no", "chunk", (F.col("chunk_no") == F.col("n") - 1).alias("is_last"))
 
 
-def fixed_batches(df: DataFrame, order: str, size: int = 20, within: str | None = None) -> DataFrame:
-    """Add batch numbers of `size` rows in order; within a column's values if one is given, which keeps the work spread."""
-    w = (Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
-
-
 def update_index(index: DataFrame | None, docs: DataFrame, key: str, text: Column, model: Embed = hashed_words) -> DataFrame:
     """The index after embedding new and changed documents, by content hash; chunks of changed documents are replaced."""
     current = docs.select(F.col(key).cast("string").alias("parent_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("content"), text.alias("text")).where("parent_id is not null")
@@ -71,9 +67,10 @@ def rerank(candidates: DataFrame, n: int, query: str, score: Column | None, *ord
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*keys))).where(F.col("rank") <= n).drop("_score")
 
 
-def match(patients: DataFrame, trials: DataFrame, index: DataFrame, *, retrieve: int = 15, keep: int = 5, model: Embed = hashed_words, recommend: Callable[[Column, Column], Column] | None = None, judge_input: Callable[[Column], Column] | None = None, judge_output: Callable[[Column, Column], Column] | None = None, guarded: bool = True) -> DataFrame:
+def match(patients: DataFrame, trials: DataFrame, index: DataFrame | VectorIndex, *, retrieve: int = 15, keep: int = 5, model: Embed = hashed_words, recommend: Callable[[Column, Column], Column] | None = None, judge_input: Callable[[Column], Column] | None = None, judge_output: Callable[[Column, Column], Column] | None = None, guarded: bool = True) -> DataFrame:
     """The guarded matching of (patient_id, summary): input guard, redaction, retrieval, filters, rerank, output guards.
 
+    A `VectorIndex` is searched by lists, a plain table of vectors whole; both give the same trials.
     trials: (nct_number, condition, study_title, conditions, disease, ...). Every patient gets one row (patient_id, status,
     stage, reason, trial ids, recommendation); a failed output guard replaces the recommendation and keeps the trials.
     judge_input(summary) and judge_output(answer, trials) give a reason to refuse or null, after the rules have passed;
@@ -84,7 +81,7 @@ def match(patients: DataFrame, trials: DataFrame, index: DataFrame, *, retrieve:
     asked = patients.select("patient_id", F.col("summary").alias("original"), guards.redact_pii(F.col("summary")).alias("summary"), guards.pii_hits(F.col("summary")).alias("pii_hits"), checked(guards.input_problem(F.col("summary")), *asks).alias("input_problem"))
     open_ = asked.where("input_problem is null").withColumn("targets", classify.detect_conditions(F.col("summary")))
     open_ = embed(open_.withColumn("query", classify.retrieval_query(F.col("summary"), F.col("targets"))), "query", model)
-    hits = nearest(open_, index, 3 * retrieve, query="patient_id")
+    hits = index.search(open_, 3 * retrieve, query="patient_id", exact=True) if isinstance(index, VectorIndex) else nearest(open_, index, 3 * retrieve, query="patient_id")
     found = best_parents(hits, retrieve, "patient_id").withColumnRenamed("distance", "best").withColumnRenamed("rank", "retrieved_rank")
     docs = keep_first(trials, "nct_number", [F.array_position(F.array(*(F.lit(c) for c in classify.REGISTRY)), F.col("condition"))])
     disease = F.lower(F.trim(F.coalesce("disease", F.lit(""))))

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, guards, text, values, verdicts
 from tessera.operators import contract, evaluation, keyed, profile, search
-from tessera.providers import lexical_score, packed
-from tessera.session import shared_folder
+from tessera.providers import lexical_score
 from tessera.sources.sinks import to_metrics
 from tessera.sources.tables import table
 from tessera.streaming import events as streams
@@ -331,20 +330,6 @@ def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return search.chunk_rows(table(spark, d, "documents"), "doc_id", F.col("text")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query()
-def token_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Sub-batches of each source's texts under a token budget: (source, batch, texts, chars)."""
-    import pandas as pd
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        batches = list(packed(frame.sort_values("doc_id")["text"].fillna("").tolist(), 18_000, 20))
-        return pd.DataFrame({"source": frame["source"].iloc[0], "batch": range(len(batches)), "texts": [len(b) for b in batches], "chars": [sum(map(len, b)) for b in batches]})
-
-    # a source is split into runs of ids, so no group grows with the table
-    docs = table(spark, d, "documents").select("source", "doc_id", "text").withColumn("run", F.floor(F.col("doc_id") / 2000))
-    return docs.groupBy("source", "run").applyInPandas(pack, "source string, batch long, texts long, chars long")
-
-
 _KNN_SQL = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, u.vec_id AS id, 1 - list_sum(list_transform(range(1, len(u.v) + 1), lambda i: q.v[i] * u.v[i])) AS distance FROM u AS q, u WHERE q.vec_id % 100 = 0),
 """
@@ -519,16 +504,3 @@ def out_of_range(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL '600 seconds', ts) AS start, round(avg(value), 6) AS average, count(*) AS n FROM events GROUP BY 1")
 def window_avg_600s(spark: SparkSession, d: str) -> DataFrame:
     return streams.window_average(table(spark, d, "events"), "ts", "value").select(F.col("start").cast("timestamp_ntz").alias("start"), F.round("average", 6).alias("average"), "n")
-
-
-@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
-def stream_latest_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The latest event of each user, read as a stream and upserted batch by batch."""
-    where = shared_folder(spark, "stream")
-    schema = table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    state = streams.KeyedState(spark, f"{where}/state", "user_id long, event_id long, event_type string, value double", "user_id", "event_id")
-    batches: list[int] = []
-    run = streams.run_upsert(source.select("user_id", "event_id", "event_type", "value"), state, f"{where}/checkpoint", handle=lambda df: (batches.append(1), df)[1])
-    run.awaitTermination()
-    return state.read(len(batches) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessera", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -22,8 +22,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which driver and executors share; local mode sets that where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read again: cuts the lineage, survives lost executors, and is made once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,15 @@
-"""A batch source over a paged REST interface, as a Python data source."""
+"""A source over a paged REST interface, in batches and as a stream, as a Python data source."""
 
 from __future__ import annotations
 
+import glob
 import json
 import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def fetch(url: str) -> dict:
@@ -17,10 +18,16 @@ def fetch(url: str) -> dict:
 
 
 class PagedStudies(DataSource):
-    """Format "paged_studies": rows (study string), one partition a query, pages followed by their tokens.
+    """Format "paged_studies": rows (query string, page int, study string), pages followed by their tokens.
 
     Options: url, query (several joined by `;`), status, page_size, sleep, mode ("permissive": a failing page ends
-    the scan and keeps what was read; "failfast": it raises). url may be a file:// folder of page-N.json files for tests.
+    the scan of its query and keeps what was read; "failfast": it raises), pages_per_batch (streams only).
+    url may be a folder of pages that driver and executors see (a path or file://), named page-N.json or, for each query, query=Q/page=N/part-*.
+
+    As a batch, a query is a partition, since only a page tells where the next one is. As a stream, the driver walks the
+    tokens, asking for as little of each page as the interface gives, and every page is a partition; the offset holds each
+    query's next page and token, so a restarted stream goes on at the page at which it stopped. A page that fails ends
+    the batch before it: in permissive mode it is tried again with the next batch, in failfast mode the stream fails there.
     """
 
     @classmethod
@@ -28,34 +35,100 @@ class PagedStudies(DataSource):
         return "paged_studies"
 
     def schema(self) -> str:
-        return "query string, study string"
+        return "query string, page int, study string"
 
     def reader(self, schema) -> DataSourceReader:
-        return PagedReader(dict(self.options))
+        return PagedReader(Pages(dict(self.options)))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return PagedStream(Pages(dict(self.options)))
+
+
+class Pages:
+    """The pages of an interface by query, number and token."""
 
-class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.strict = options.get("mode", "permissive") == "failfast"
+        self.queries = [q.strip() for q in options.get("query", "").split(";")]
+        self.sleep = float(options.get("sleep", "0.3"))
+
+    def get(self, query: str, page: int, token: str | None, fields: str | None = None) -> dict:
+        base = self.options["url"].rstrip("/")
+        if base.startswith(("file:", "/")):
+            folder = urllib.parse.unquote(urllib.parse.urlparse(base).path) if base.startswith("file:") else base
+            found = sorted(glob.glob(f"{glob.escape(folder)}/query={glob.escape(query)}/page={page}/part-*"))
+            return fetch(f"file://{urllib.parse.quote(found[0] if found else f'{folder}/page-{page}.json')}")
+        values = {"query.cond": query, "filter.overallStatus": self.options.get("status", "RECRUITING"), "pageSize": self.options.get("page_size", "1000"), "format": "json"}
+        values |= ({"pageToken": token} if token else {}) | ({"fields": fields} if fields else {})
+        return fetch(f"{base}?{urllib.parse.urlencode(values)}")
+
+    def studies(self, query: str, page: int, answer: dict) -> Iterator[tuple]:
+        for study in answer.get("studies", []):
+            if isinstance(study, dict):
+                yield query, page, json.dumps(study)
+
+
+class PagedReader(DataSourceReader):
+    def __init__(self, pages: Pages):
+        self.pages = pages
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(q.strip()) for q in self.options.get("query", "").split(";")]
+        return [InputPartition(q) for q in self.pages.queries]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        options, token, page = self.options, None, 0
+        token, page = None, 0
         while True:
-            values = {"query.cond": partition.value, "filter.overallStatus": options.get("status", "RECRUITING"), "pageSize": options.get("page_size", "1000"), "format": "json"} | ({"pageToken": token} if token else {})
-            url = f"{options['url'].rstrip('/')}/page-{page}.json" if options["url"].startswith("file:") else f"{options['url']}?{urllib.parse.urlencode(values)}"
             try:
-                answer = fetch(url)
+                answer = self.pages.get(partition.value, page, token)
             except Exception:
-                if options.get("mode", "permissive") == "failfast":
+                if self.pages.strict:
                     raise
                 return
-            for study in answer.get("studies", []):
-                if isinstance(study, dict):
-                    yield partition.value, json.dumps(study)
+            yield from self.pages.studies(partition.value, page, answer)
             token, page = answer.get("nextPageToken"), page + 1
             if not token:
                 return
-            time.sleep(float(options.get("sleep", "0.3")))
+            time.sleep(self.pages.sleep)
+
+
+class PagedStream(DataSourceStreamReader):
+    def __init__(self, pages: Pages):
+        self.pages = pages
+        self.at: dict | None = None  # query: next page, its token, whether there is one
+        self.steps: list[list] = []  # query, page and token of what no finished batch has
+
+    def initialOffset(self) -> dict:
+        return {"at": {q: [0, None, True] for q in self.pages.queries}, "steps": []}
+
+    def latestOffset(self) -> dict:
+        if self.at is None:
+            self.at = self.initialOffset()["at"]
+        for query, (page, token, more) in list(self.at.items()):
+            for _ in range(int(self.pages.options.get("pages_per_batch", "100"))):
+                if not more:
+                    break
+                try:
+                    answer = self.pages.get(query, page, token, self.pages.options.get("token_fields", "NCTId"))
+                except Exception:
+                    if self.pages.strict:
+                        raise
+                    break
+                self.steps.append([query, page, token])
+                page, token = page + 1, answer.get("nextPageToken")
+                more = bool(token)
+                time.sleep(self.pages.sleep if more else 0)
+            self.at[query] = [page, token, more]
+        return {"at": {q: list(x) for q, x in self.at.items()}, "steps": [list(s) for s in self.steps]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if self.at is None:  # a restarted stream plans its last batch first
+            self.at = {q: list(end["at"].get(q, [0, None, True])) for q in self.pages.queries}
+        return [InputPartition(tuple(s)) for s in end["steps"] if start["at"].get(s[0], [0])[0] <= s[1] < end["at"][s[0]][0]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        query, page, token = partition.value
+        yield from self.pages.studies(query, page, self.pages.get(query, page, token))  # what fails here is tried again by Spark
+
+    def commit(self, end: dict) -> None:
+        self.steps = [s for s in self.steps if s[1] >= end["at"].get(s[0], [0])[0]]

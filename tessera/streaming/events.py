@@ -1,55 +1,25 @@
-"""Streams: idempotent request handling, metrics from finished summaries, windowed averages."""
+"""Streams: messages, request status, metrics from finished summaries, windowed averages."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from tessera.functions.values import message_payload
-from tessera.operators.keyed import upsert
-
-
-def messages(raw: DataFrame, schema: str = "patient_id string", data: str = "data", time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Payloads of base64 JSON messages, each message id once within the delay."""
-    parsed = raw.withColumn("payload", message_payload(F.col(data), schema)).select("message_id", F.col(time).cast("timestamp").alias(time), "payload.*")
-    return parsed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["message_id"])
-
-
-def latest_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return df.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
+from tessera.functions.values import message_payload, message_text
+from tessera.operators.keyed import keep_first
 
-class KeyedState:
-    """A keyed table in versioned folders; a batch that comes again finds its version and changes nothing."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, *version: str):
-        self.spark, self.path, self.schema, self.key, self.version = spark, path.rstrip("/"), schema, key, version
+def messages(raw: DataFrame, schema: str = "patient_id string", data: str = "data", time: str = "ts", delay: str = "1 hour", corrupt: str | None = None) -> DataFrame:
+    """Payloads of base64 JSON messages, each message id once within the delay.
 
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/v={batch:012d}"
-
-    def _exists(self, batch: int) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self._folder(batch)}/_SUCCESS")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-    def read(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._folder(batch)) if batch >= 0 else self.spark.createDataFrame([], self.schema)
-
-    def apply(self, rows: DataFrame, batch: int) -> None:
-        if not self._exists(batch):
-            new = latest_rows(rows, self.key, *self.version)
-            upsert(self.read(batch - 1), new, self.key, list(self.version)).select(*self.read(-1).columns).write.mode("overwrite").parquet(self._folder(batch))
-
-
-def run_upsert(stream: DataFrame, state: KeyedState, checkpoint: str, handle: Callable[[DataFrame], DataFrame] = lambda df: df, available_now: bool = True) -> StreamingQuery:
-    """Handle each micro-batch and upsert its results by key; ends when the input that is there is done."""
-    writer = stream.writeStream.foreachBatch(lambda df, batch: state.apply(handle(df), batch)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    In a stream, a message that comes later than `delay` behind the newest one is dropped, whether its id is new or not. A payload that
+    is no JSON has null fields; with `corrupt` a column of that name says which have.
+    """
+    shown = [F.try_parse_json(message_text(F.col(data))).isNull().alias(corrupt)] if corrupt else []
+    parsed = raw.withColumn("payload", message_payload(F.col(data), schema)).select("message_id", F.col(time).cast("timestamp").alias(time), "payload.*", *shown)
+    if not raw.isStreaming:
+        return keep_first(parsed, "message_id", [time])
+    return parsed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
 def request_status(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:

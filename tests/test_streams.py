@@ -1,19 +1,44 @@
 import base64
+import datetime
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import sinks
-from tessera.streaming import events
+from tessera.sources.paged import PagedStudies
+from tessera.streaming import events, requests, upserts
 
 
-def test_upsert_is_idempotent(spark, tmp_path):
-    state = events.KeyedState(spark, f"file://{tmp_path}/s", "k string, v int", "k", "v")
-    rows = spark.createDataFrame([("a", 1), ("a", 3), (None, 9)], "k string, v int")
-    state.apply(rows, 0)
-    state.apply(rows.limit(0), 0)  # the batch comes again
-    state.apply(spark.createDataFrame([("a", 2), ("b", 1)], "k string, v int"), 1)
-    assert sorted(tuple(r) for r in state.read(1).collect()) == [("a", 3), ("b", 1)]
+def test_upsert_log(spark, tmp_path):
+    log = upserts.UpsertLog(spark, f"file://{tmp_path}/s", "k string, v int, t string", "k", "v")
+    schema = "k string, v int, t string"
+    assert log.read().count() == 0 and log.compact() == -1
+    for _ in range(2):  # the batch comes again
+        log.write(spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), (None, 9, "z")], schema), 0)
+    log.write(spark.createDataFrame([("a", 2, "late"), ("b", 1, "x"), ("b", 1, "y")], schema), 1)
+    want = [("a", 3, "y"), ("b", 1, "y")]
+    assert sorted(tuple(r) for r in log.read().collect()) == want
+    assert log.compact() == 1 and sorted(tuple(r) for r in log.read().collect()) == want
+    log.write(spark.createDataFrame([("a", 4, "new")], schema), 2)
+    assert sorted(tuple(r) for r in log.read().collect()) == [("a", 4, "new"), ("b", 1, "y")]
+
+
+def test_upserts_from_a_stream(spark, tmp_path):
+    """An older version that comes later changes nothing, and a batch writes what it touched, not the table."""
+    schema = "k long, v long, t string"
+    log = upserts.UpsertLog(spark, f"file://{tmp_path}/log", schema, "k", "v")
+
+    def feed(rows, name):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in/{name}")
+        upserts.run_upsert(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), log, f"file://{tmp_path}/c").awaitTermination()
+
+    feed([(k, 5, "first") for k in range(200)], "a")
+    feed([(1, 4, "older"), (2, 6, "newer"), (2, 6, "newest")], "b")
+    table = {r.k: (r.v, r.t) for r in log.read().collect()}
+    assert len(table) == 200 and table[1] == (5, "first") and table[2] == (6, "newest")
+    assert spark.read.schema(schema).parquet(log.folder(0)).count() == 200 and spark.read.schema(schema).parquet(log.folder(1)).count() == 2
 
 
 def test_messages_are_parsed_once(spark, tmp_path):
@@ -46,3 +71,66 @@ def test_metrics_and_files(spark, tmp_path):
     assert json.loads(spark.read.text(f"file://{tmp_path}/report").first().value)["run"] == 1
     sinks.write_csv(df.select(F.lit('q"\n').alias("x")), f"file://{tmp_path}/csv", 1000)
     assert spark.read.option("multiLine", True).option("header", True).option("quote", '"').option("escape", '"').csv(f"file://{tmp_path}/csv").first().x == 'q"\n'
+
+
+def test_corrupt_messages_are_told_apart(spark, tmp_path):
+    good = base64.b64encode(b'{"patient_id": "p"}').decode()
+    rows = [("m1", "2020-01-01 00:00:00", good), ("m2", "2020-01-01 00:00:01", base64.b64encode(b"{").decode()), ("m3", "2020-01-01 00:00:02", "%%%"), ("m4", "2020-01-01 00:00:03", None), ("m5", "2020-01-01 00:00:04", base64.b64encode(b"\xff\xfe").decode())]
+    found = events.messages(spark.createDataFrame(rows, "message_id string, ts string, data string"), corrupt="corrupt")
+    assert {r.message_id: (r.patient_id, r.corrupt) for r in found.collect()} == {"m1": ("p", False)} | {f"m{i}": (None, True) for i in (2, 3, 4, 5)}
+
+
+T0 = datetime.datetime(2024, 1, 1)
+
+
+def test_polls_in_any_order_within_the_delay(spark, tmp_path):
+    rng = random.Random(3)
+    kinds = ["request", "completed", "failed", "poll", "poll", "other"]
+    rows = [(rng.randrange(4), i, T0 + datetime.timedelta(seconds=rng.randrange(0, 1800) + 1800 * (i // 60)), rng.choice(kinds)) for i in range(180)]
+    tick = [(-1, -1, T0 + datetime.timedelta(days=1), "other")]
+    schema = "key long, event long, ts timestamp, kind string"
+    for n, part in enumerate([rows[:60], rows[60:120], rows[120:], tick]):
+        spark.createDataFrame(part, schema).repartition(3).write.parquet(f"{tmp_path}/in/s{n}")
+        told = requests.stream_poll_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), "1 hour").writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
+        requests.with_state_store(spark, lambda: told.start(f"{tmp_path}/out", "parquet")).awaitTermination()
+    want = []
+    for key in range(4):
+        state = "not_started"
+        for _, event, ts, kind in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            if kind == "poll":
+                want.append((key, event, ts, state))
+            state = requests.STATES.get(kind, state)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
+    assert sorted(tuple(r) for r in requests.poll_states(spark.createDataFrame(rows, schema)).collect()) == sorted(want)
+    assert {w[3] for w in want} == {"not_started", "processing", "completed", "failed"}
+
+
+def test_alerts_need_a_run(spark):
+    hours = [(0, 9), (1, 9), (2, 9), (3, 9), (4, 1), (5, 9), (6, 9), (8, 9), (9, 9), (10, 9), (12, 9), (13, 9), (14, 9)]
+    windows = spark.createDataFrame([("a", T0 + datetime.timedelta(hours=h), float(v)) for h, v in hours], "key string, start timestamp, average double")
+    found = sorted((r.at.hour, r.event, r.since.hour, r.windows) for r in requests.sustained(windows, width="1 hour", runs=3, above=5.0).collect())
+    assert found == [(3, "firing", 0, 3), (4, "recovered", 0, 4), (11, "firing", 8, 3), (11, "recovered", 8, 3), (15, "firing", 12, 3)]  # the last is open
+
+
+def test_paged_stream_goes_on_where_it_stopped(spark, tmp_path):
+    spark.dataSource.register(PagedStudies)
+
+    def page(n, more, text=None):
+        (tmp_path / f"page-{n}.json").write_text(text or json.dumps({"studies": [{"i": n * 10 + k} for k in range(3)] + ["bad"]} | ({"nextPageToken": f"t{n + 1}"} if more else {})))
+
+    def run(mode):
+        stream = spark.readStream.format("paged_studies").options(url=f"file://{tmp_path}", query="x", sleep="0", mode=mode, pages_per_batch="2").load()
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet").awaitTermination()
+        return sorted(json.loads(r.study)["i"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    for n in range(5):
+        page(n, n < 4, "{" if n == 3 else None)
+    assert run("permissive") == [0, 1, 2, 10, 11, 12]  # two pages a batch
+    assert run("permissive") == [0, 1, 2, 10, 11, 12, 20, 21, 22]  # the page before the broken one
+    with pytest.raises(Exception):
+        run("failfast")
+    page(3, True)
+    (tmp_path / "page-0.json").write_text("{")  # no page is read again
+    for _ in range(2):
+        found = run("failfast")
+    assert found == [n * 10 + k for n in range(5) for k in range(3)]
