@@ -21,6 +21,7 @@ bears the name of a result column is replaced; where every text holds an entity,
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -142,8 +143,12 @@ def contexts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     return source.mapInArrow(run, "x long, y long, entity string, terms array<string>").dropDuplicates(["x", "y", "entity"])
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame) -> DataFrame:
-    """(term, n): how many distinct texts hold each of `terms`. Texts that may be copies (x of `copied`) are told apart by their key."""
+def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame, most: int) -> DataFrame:
+    """(term, n): how many distinct texts hold each of `terms`; a number above `most` may be any such.
+
+    Texts that may be copies (x of `copied`) are told apart by their key; a task sends a term's keys, `most` of them at most, and
+    of a term that it finds in more texts only that.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,15 +161,11 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, copies = (b.value for b in bits)
-        seen: set[tuple[int, int]] = set()
-        single: Counter[str] = Counter()
-        arrow = (pa.int64(), pa.int64(), pa.string(), pa.int64())
-        names = ["x", "y", "term", "n"]
+        counts = _TermCounts(most)
         for batch in batches:
             raw, bounds = fl.flat(batch.column(2))
             x, y = (np.asarray(batch.column(i)) for i in (0, 1))
             maybe = in_bits(x, copies)
-            rows: list[tuple] = []
             for low, high in fl.pieces(bounds):
                 data, edges = fl.LOWER[raw[bounds[low] : bounds[high]]], bounds[low : high + 1] - bounds[low]
                 starts, ends, of = fl.words(data, edges, fl.ALNUM)
@@ -174,23 +175,11 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                 doc = low + np.searchsorted(of, hit, "right") - 1
                 for d, at in zip(*(a.tolist() for a in np.unique(doc, return_index=True))):
                     stop = int(np.searchsorted(doc, d, "right"))
-                    if maybe[d]:
-                        if (int(x[d]), int(y[d])) in seen:
-                            continue
-                        if len(seen) < 1 << 20:
-                            seen.add((int(x[d]), int(y[d])))
                     held = {data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in hit[at:stop].tolist()}
-                    if maybe[d]:
-                        rows += [(int(x[d]), int(y[d]), t, 1) for t in held]
-                    else:
-                        single.update(held)
-            if len(single) > 200_000:
-                rows += [(None, None, t, n) for t, n in single.items()]
-                single.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)], names=names)
-        if single:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((None, None, t, n) for t, n in single.items())), arrow)], names=names)
+                    counts.add(held, (int(x[d]), int(y[d])) if maybe[d] else None)
+            if counts.size > 1 << 20:
+                yield counts.taken()
+        yield counts.taken()
 
     source = docs.where(F.col(text_col) != "").select(*_key(text_col), F.col(text_col).alias("text"))
     summed = source.mapInArrow(run, "x long, y long, term string, n long").groupBy("x", "y", "term").agg(F.sum("n").alias("n"))
@@ -198,6 +187,40 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
     return once.join(terms, "term", "left_semi")
 
 
+class _TermCounts:
+    """What a task has found: numbers of single texts and keys of those that may be copies, until a term has more than `most` of both."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.single: Counter[str] = Counter()
+        self.keys: dict[str, set[tuple[int, int]]] = {}
+        self.size = 0
+
+    def add(self, terms: set[str], key: tuple[int, int] | None) -> None:
+        for t in terms:
+            if self.single[t] > self.most:
+                continue
+            before = len(self.keys.get(t, ()))
+            if key is None:
+                self.single[t] += 1
+            else:
+                self.keys.setdefault(t, set()).add(key)
+            held = len(self.keys.get(t, ()))
+            self.size += held - before + (key is None)
+            if self.single[t] + held > self.most:
+                self.single[t] = self.most + 1
+                self.keys.pop(t, None)
+
+    def taken(self) -> pa.RecordBatch:
+        rows = [(None, None, t, n) for t, n in self.single.items() if n] + [(*key, t, 1) for t, keys in self.keys.items() for key in keys]
+        self._clear()
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["x", "y", "term", "n"])
+
+
 def disclosures(docs: DataFrame, near: DataFrame, *, text_col: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """(entity, term, disclosed, kind): terms that disclose at least the share `generalise` of an entity's information."""
     texts = written(docs.where(F.col(text_col) != "").select(*_key(text_col)).groupBy("x", "y").agg(F.count("*").alias("rows")), "privacy-texts")
@@ -214,10 +237,11 @@ def disclosures(docs: DataFrame, near: DataFrame, *, text_col: str = "text", sup
     around = around if some is None else around.where(some)
     around = around.distinct().groupBy("term").agg(F.count("*").alias("n_around"))
     terms = written(possible.join(around, "term").where(F.col("n_around") <= F.col("most") + 1e-6).select("term"), "privacy-terms")
-    if terms.isEmpty():
+    limit = possible.join(terms, "term", "left_semi").agg(F.max("most").alias("most")).first().most
+    if limit is None:
         counts = terms.withColumn("n", F.lit(0).cast("long"))
     else:
-        counts = term_counts(docs, text_col, terms, texts.where("rows > 1"))
+        counts = term_counts(docs, text_col, terms, texts.where("rows > 1"), math.ceil(limit) + 1)
     share = F.log(F.lit(n) * F.col("n_both") / (F.col("n") * F.col("n_entity"))) / F.col("information")
     out = rated.join(counts, "term").select("entity", "term", share.alias("disclosed")).where(F.col("disclosed") >= generalise)
     return out.withColumn("kind", F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise"))
