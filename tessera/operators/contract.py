@@ -86,8 +86,8 @@ def check(df: DataFrame, contract: Contract | None, required: Sequence[str], mod
     return contract, found
 
 
-def validation(df: DataFrame, required: Sequence[str] = REQUIRED, critical: Sequence[str] = CRITICAL, id_col: str = "NCT Number", min_rows: int = 10) -> DataFrame:
-    """One row: passed, rows and the errors of the gate."""
+def validation(df: DataFrame, required: Sequence[str] = REQUIRED, critical: Sequence[str] = CRITICAL, id_col: str = "NCT Number", min_rows: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """One row: passed, rows and the errors of the gate; with `by` a row for each group of rows, as a table of its own."""
     has, n = set(df.columns), F.col("rows")
     sums = [F.count("*").alias("rows")]
     if id_col in has:
@@ -108,7 +108,7 @@ def validation(df: DataFrame, required: Sequence[str] = REQUIRED, critical: Sequ
     if "disease_type" in has:
         errors.append(F.when(F.col("unknown") > n * 0.5, F.lit("disease_type is Unknown for more than half of the rows")))
     errors += [F.when(F.try_divide(f"null_{i}", "rows") > 0.8, f"CRITICAL: {c} is mostly null") for i, c in enumerate(critical) if c in has]
-    return df.agg(*sums).withColumn("errors", F.array_compact(F.array(*errors))).select((F.size("errors") == 0).alias("passed"), "rows", "errors")
+    return df.groupBy(*by).agg(*sums).withColumn("errors", F.array_compact(F.array(*errors))).select(*by, (F.size("errors") == 0).alias("passed"), "rows", "errors")
 
 
 def anomalies(df: DataFrame, required: Sequence[str] = ANOMALY_REQUIRED, id_col: str = "NCT Number", value: str = "Enrollment", order: str | None = None, ignored: Sequence[str] = IGNORED_MISSING) -> DataFrame:

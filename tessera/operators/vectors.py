@@ -167,7 +167,7 @@ class VectorIndex:
             place = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable")
             vectors, rows, takes, found = _matrix(held["v"]), [], [], []
             for low in range(0, len(names), 256):
-                distance = 1 - _matrix(asking["q"].slice(low, 256)) @ vectors.T
+                distance = np.round(1 - _matrix(asking["q"].slice(low, 256)) @ vectors.T, 12)  # equal vectors tie, wherever they stand
                 for r, d in enumerate(distance):
                     some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
                     if limit is not None:

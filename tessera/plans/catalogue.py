@@ -197,13 +197,6 @@ def duplicate_key_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- contracts and gates ----------------------------------------------------------------------------------------------------
-@query("SELECT unnest(['Missing required columns: [''region'']', 'Columns missing vs baseline schema: [''region'']', 'Type drift for ''o_custkey'': expected string, got number']) AS violation")
-def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders")
-    base = contract.Contract(_ORDER_TYPES | {"region": "string", "o_custkey": "string"}, ["o_orderkey", "region"])
-    return contract.violations(orders, base).select("violation")
-
-
 @query("""SELECT 'Invalid category values in ''o_orderstatus'': [''' || string_agg(DISTINCT upper(o_orderstatus), ''', ''' ORDER BY upper(o_orderstatus)) || ''']' AS violation FROM orders WHERE upper(o_orderstatus) NOT IN ('F')
 UNION ALL SELECT '''o_totalprice'' has values > 1000.0' FROM orders HAVING max(o_totalprice) > 1000""")
 def category_domain(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import numbering, profile, vectors
+from tessera.operators import experiments, numbering, profile, vectors
 from tessera.operators.quantiles import quantiles
 from tessera.sources.tables import table
 
@@ -77,3 +77,38 @@ def token_batches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("chars"))
     out = numbering.packed_batches(docs, ["doc_id", "chars"], F.col("chars"), limit=int(18_000 * 1.4), within="source")
     return out.select("source", "batch", F.col("rows").alias("texts"), F.col("size").alias("chars"))
+
+
+# --- sweeps and ablations -----------------------------------------------------------------------------------------------------
+_SETTINGS = experiments.one_at_a_time(experiments.Setting(retrieve=8, keep=5, limit=0.7), (4, 8, 16), (3, 5, 10), (0.55, 0.7, 0.9))
+_SETTING_SQL = ", ".join(f"('{s.param}', {s.value}, {s.retrieve}, {s.keep}, {s.limit})" for s in _SETTINGS)
+
+
+@query(_KNN_SQL.replace("vec_id % 100 = 0", "vec_id % 20 = 0") + f"""r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d),
+s AS (SELECT * FROM (VALUES {_SETTING_SQL}) AS v(param, value, retrieve, keep, lim)),
+q AS (SELECT vec_id AS query_id, vec_id % 3 = 0 AS ood FROM embeddings WHERE vec_id % 20 = 0),
+n AS (SELECT q.query_id, q.ood, s.*, least((SELECT count(DISTINCT id // 3) FROM r WHERE r.query_id = q.query_id AND r.rank <= 3 * s.retrieve AND r.distance < s.lim), s.retrieve) AS candidates FROM q, s)
+SELECT param, CAST(value AS DOUBLE) AS value, round(avg(candidates), 6) AS avg_candidates, round(avg(least(candidates, keep)), 6) AS avg_matched, round(coalesce(avg(least(candidates, keep)) FILTER (ood), 0), 6) AS avg_ood_matched, 1.0 AS success_rate FROM n GROUP BY param, value""")
+def sweep_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Three parameters at three values each, from one search of the index."""
+    e, index = _index(spark, d)
+    prompts = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 3 == 0, "ood").otherwise("in").alias("slice"))
+    out = experiments.sweep(prompts, index, _SETTINGS, F.expr("id div 3"))
+    return out.select("param", "value", *(F.round(c, 6).alias(c) for c in ("avg_candidates", "avg_matched", "avg_ood_matched")), "success_rate")
+
+
+@query("""WITH m AS (SELECT vec_id, f, list_transform(range(1, 65), lambda i: CASE WHEN f >= 0 AND i BETWEEN f * 12 + 1 AND f * 12 + 12 THEN 0.0 ELSE CAST(embedding[i] AS DOUBLE) END) AS v FROM embeddings, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f) WHERE vec_id % 20 = 0),
+i AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+iu AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM i),
+mu AS (SELECT vec_id, f, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM m),
+d AS (SELECT vec_id, f, id, 1 - list_sum(list_transform(range(1, 65), lambda k: mu.v[k] * iu.v[k])) AS distance FROM mu, iu),
+l AS (SELECT vec_id, f, list(id ORDER BY distance, id)[1:5] AS ids FROM d GROUP BY 1, 2),
+p AS (SELECT b.vec_id, a.f, b.ids AS base, a.ids AS ids, list_filter(b.ids, lambda x: list_contains(a.ids, x)) AS c FROM l AS b JOIN l AS a ON a.vec_id = b.vec_id AND a.f >= 0 WHERE b.f = -1)
+SELECT vec_id AS query_id, 'part' || f AS feature, len(c) / 5 AS overlap_ratio, coalesce(list_sum(list_transform(c, lambda x: abs(list_position(base, x) - list_position(ids, x)))), 0) / greatest(len(c), 1) AS avg_rank_shift, 1 - len(c) / 5 AS importance FROM p""")
+def ablation_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts without each of five parts of their vectors, searched together, against the prompts as they are."""
+    _, index = _index(spark, d)
+    prompts = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(*(F.lit(f) for f in range(-1, 5)))).alias("f"), "embedding")
+    without = F.transform("embedding", lambda x, i: F.when(F.floor(i / 12) == F.col("f"), 0.0).otherwise(x.cast("double")))
+    variants = prompts.select("query_id", F.when(F.col("f") >= 0, F.concat(F.lit("part"), F.col("f").cast("string"))).alias("feature"), without.alias("embedding"))
+    return experiments.ablations(variants, index)

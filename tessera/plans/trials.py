@@ -158,14 +158,6 @@ def row_access(spark: SparkSession, d: str) -> DataFrame:
     return tables.union_of(views)
 
 
-@query("SELECT CAST('disease_type' AS VARCHAR) AS missing, true AS duplicates, count(*) AS invalid_ids, 'Conditions 100.0' AS high_missing, true AS stops FROM orders")
-def anomaly_gate(spark: SparkSession, d: str) -> DataFrame:
-    trials = table(spark, d, "orders").select(F.col("o_orderpriority").alias("NCT Number"), F.col("o_orderstatus").alias("Study Title"), F.lit(None).cast("string").alias("Conditions"), F.lit("x").alias("disease"), F.lit(None).cast("string").alias("Phase"), F.col("o_totalprice").alias("Enrollment"), F.col("o_orderkey").alias("_ord"))
-    found = contract.anomalies(trials, order="_ord")
-    high = F.array_join(F.transform("high_missing_columns", lambda c: F.concat_ws(" ", c["column"], c["null_pct"].cast("string"))), ",")
-    return found.select(F.array_join("missing_columns", ",").alias("missing"), "duplicates", F.col("invalid_ids").cast("long").alias("invalid_ids"), high.alias("high_missing"), "stops")
-
-
 # --- keyed tables and index ---------------------------------------------------------------------------------------------------
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus WHEN o_orderkey % 5 = 0 THEN 'U' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS owner FROM orders WHERE o_orderkey % 7 <> 0""")
 def record_crud(spark: SparkSession, d: str) -> DataFrame:
@@ -253,25 +245,6 @@ def lookup_scans(spark: SparkSession, d: str) -> DataFrame:
     return tables.union_of([tables.point_lookup(customer, "c_custkey", 7).select(F.lit("point").alias("scan"), "c_custkey", "c_name"), first])
 
 
-# --- texts and values -------------------------------------------------------------------------------------------------------------
-@query(f"""SELECT o_orderkey, {_sql_pick("o_orderkey", "a", "b", "", "b")} AS present, 'a_b' AS parent, 'VERDICT: ELIGIBLE' || chr(10) || '**Trial 2** y' AS verdict_lines, '**Trial 1** x' || chr(10) || 'VERDICT: ELIGIBLE|**Trial 2** y' AS blocks, 'one|two' AS bullets, 'the answer ' || o_orderkey AS answer,
-length(o_orderpriority) / 1.4 AS tokens, CAST(o_orderkey % 4 AS DOUBLE) / greatest(o_orderkey % 3, 1) AS part, o_orderkey AS payload, '1 AGREE fits|2 DISAGREE too old' AS judged, 'Title: ' || o_orderpriority || '. Condition: . Disease: x. Keywords: . Phase: . Status: . Interventions: . Eligibility: . Summary: .' AS document FROM orders""")
-def text_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Small text and value operators side by side."""
-    k = F.col("o_orderkey")
-    said = F.lit("VERDICT: ELIGIBLE\nfine\n **Trial 2** y")
-    listed = F.lit("intro **Trial 1** x\nVERDICT: ELIGIBLE **Trial 2** y ")
-    answer = F.concat(F.lit("p<start_of_turn>model\n the answer "), k.cast("string"), F.lit("<end_of_turn> rest"))
-    judged = verdicts.judge_lines(F.lit("Trial 1: AGREE — fits\nnoise\nTrial 2: disagree - too old"))
-    payload = values.message_payload(F.base64(F.to_binary(F.concat(F.lit('{"id": '), k.cast("string"), F.lit("}")), F.lit("utf-8"))), "id long")
-    return table(spark, d, "orders").select(
-        "o_orderkey", text.first_present(_pick("o_orderkey", " a ", "nan", None, "None"), _pick("o_orderkey", "x", "b", "", "b")).alias("present"), text.parent_id(F.concat(F.lit("a_b_"), k.cast("string"))).alias("parent"), text.verdict_lines(said).alias("verdict_lines"),
-        F.array_join(text.trial_blocks(listed), "|").alias("blocks"), F.array_join(text.unique_bullets(F.array(*(F.lit(x) for x in ("- one", "* two ", "• one", "None", " ")))), "|").alias("bullets"), text.model_text(answer).alias("answer"),
-        values.token_estimate(F.col("o_orderpriority")).alias("tokens"), values.ratio((k % 4).cast("double"), k % 3).alias("part"), payload["id"].alias("payload"), F.array_join(F.transform(judged, lambda j: F.concat_ws(" ", j["trial"].cast("string"), j["verdict"], j["reason"])), "|").alias("judged"),
-        text.document_text({"study_title": F.col("o_orderpriority"), "disease": F.lit("x")}).alias("document"),
-    )
-
-
 # --- run summaries ----------------------------------------------------------------------------------------------------------------
 @query(_TAGGED_SQL + """SELECT count(*) AS patients, round(avg(turns) FILTER (conv_id % 4 <> 0), 6) AS average, CAST(sum(turns) AS BIGINT) AS calls,
 (SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM (SELECT v, count(*) AS n FROM (SELECT a AS v FROM r WHERE NOT none UNION ALL SELECT b FROM r WHERE NOT none) GROUP BY 1)) AS verdicts,
@@ -335,14 +308,3 @@ def latest_run(spark: SparkSession, d: str) -> DataFrame:
 def upload_counts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     return sinks.upload_counts(table(spark, d, "customer").select(F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "").alias("nct_number"), F.when(k % 3 == 1, F.col("c_name")).alias("nctnumber")), "nct_number", "nctnumber")
-
-
-@query("""SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 3 = 1 THEN 'blocked' ELSE 'passed' END AS status, CASE c_custkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'input' ELSE 'none' END AS stage, CASE WHEN c_custkey % 3 = 1 THEN 'Input lacks sufficient clinical structure' END AS reason,
-CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE 1 END AS n FROM customer""")
-def guarded_match(spark: SparkSession, d: str) -> DataFrame:
-    """The whole guarded matching of patients with two trials, of which one is in their scope."""
-    patients = table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"), _pick("c_custkey", "A 50-year-old female diagnosed with type 2 diabetes, HbA1c 8%", "What is the weather?", "Female, age 40, diagnosis HER2 breast cancer, tumor").alias("summary"))
-    rows = [("NCT00000001", "diabetes", "Metformin", "type 2 diabetes", "diabetes"), ("NCT00000002", "breast_cancer", "Trastuzumab", "HER2 breast cancer", "breast_cancer")]
-    trials = spark.createDataFrame(rows, "nct_number string, condition string, study_title string, conditions string, disease string")
-    found = search.match(patients, trials, search.trial_index(trials))
-    return found.select("patient_id", "status", "stage", "reason", F.size("trials").cast("long").alias("n"))

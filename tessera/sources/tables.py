@@ -34,10 +34,23 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, na: Sequ
     return with_ordinal(df) if ordinal else df
 
 
+def _results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    df = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(folder)
+    return df.withColumn("file", F.col("_metadata.file_name")).where("file <> 'summary.json'")
+
+
 def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """A folder of JSON results without its summary; unreadable files are skipped."""
-    df = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(folder)
-    return df.withColumn("file", F.col("_metadata.file_name")).where("file <> 'summary.json' AND _corrupt IS NULL").drop("_corrupt")
+    return _results(spark, folder, schema).where("_corrupt IS NULL").drop("_corrupt")
+
+
+def skipped_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(file, n_chars, n_fields): what read_results leaves out, for a warning, and how many fields could be read of it."""
+    found = _results(spark, folder, schema)
+    fields = [c for c in found.columns if c not in ("_corrupt", "file")]
+    counted = found.withColumn("n_fields", F.size(F.array_compact(F.array(*(F.col(f"`{c}`").cast("string") for c in fields)))))
+    # the reader wants a field to be asked for beside the corrupt text, whatever the caller selects
+    return counted.where(F.col("_corrupt").isNotNull() & (F.col("n_fields") >= 0)).select("file", F.length("_corrupt").cast("long").alias("n_chars"), "n_fields")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -50,6 +63,13 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("bundle"))
 
 
+def resources(bundles: DataFrame) -> DataFrame:
+    """(file, type, place, resource): the resources of bundles; entries without one, and files that are no bundle, give none."""
+    entries = bundles.select("file", F.posexplode(F.try_variant_get("bundle", "$.entry", "array<variant>")).alias("place", "entry"))
+    found = entries.select("file", F.try_variant_get("entry", "$.resource.resourceType", "string").alias("type"), "place", F.try_variant_get("entry", "$.resource", "variant").alias("resource"))
+    return found.where("type IS NOT NULL")
+
+
 def read_studies(spark: SparkSession, path: str) -> DataFrame:
     """Study JSON, one object a line or an array a file, as VARIANT rows; what cannot be parsed is skipped."""
     raw = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
