@@ -87,10 +87,11 @@ def breast_cancer_type(conditions: Column) -> Column:
 REGISTRY = {"diabetes": ("diabetes", diabetes_type), "breast_cancer": ("breast cancer", breast_cancer_type)}
 
 
-def classifier_of(condition: str):
-    if condition not in REGISTRY:
-        raise ValueError(f"unknown condition {condition!r}; known: {sorted(REGISTRY)}")
-    return REGISTRY[condition][1]
+def classifier_of(condition: str, registry: dict | None = None):
+    registry = REGISTRY if registry is None else registry
+    if condition not in registry:
+        raise ValueError(f"unknown condition {condition!r}; known: {sorted(registry)}")
+    return registry[condition][1]
 
 
 def detect_conditions(summary: Column) -> Column:

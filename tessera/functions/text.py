@@ -60,11 +60,15 @@ def drop_control_characters(text: Column) -> Column:
 
 
 def expand_terms(text: Column) -> Column:
-    out = text
-    for pattern, term in TERMS:
-        out = F.regexp_replace(out, rf"(?i)\b{pattern}\b", term)
     any_term = "|".join(pattern for pattern, _ in TERMS)
-    return F.when(text.rlike(rf"(?i)\b(?:{any_term})\b"), out).otherwise(text)  # most texts hold none: one look instead of five
+
+    def expanded(t: Column) -> Column:
+        out = t
+        for pattern, term in TERMS:
+            out = F.regexp_replace(out, rf"(?i)\b{pattern}\b", term)
+        return F.when(t.rlike(rf"(?i)\b(?:{any_term})\b"), out).otherwise(t)  # most texts hold none: one look instead of five
+
+    return bound(text, expanded)
 
 
 def drop_repeated_words(text: Column) -> Column:

@@ -29,6 +29,28 @@ def number(text: Column) -> Column:
     return F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed.try_cast("double"))
 
 
+def python_round(x: Column, digits: int = 0) -> Column:
+    """x to `digits` places, half to even, judged by the exact value of the double: 2.675 is a little less than it looks and gives 2.67.
+
+    x * 10 ** digits is split into a product and its exact error, so that what lies on, under or over the half is told apart.
+    """
+    scale = F.lit(float(10**digits))
+    split = lambda a: F.lit(134217729.0) * a - (F.lit(134217729.0) * a - a)
+    product = x * scale
+    xh, sh = split(x), split(scale)
+    xl, sl = x - xh, scale - sh
+    error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+    low = F.floor(product).cast("double")
+    part = product - low
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    return F.when(F.abs(product) >= 2.0**52, x).otherwise(F.when(up, low + 1).otherwise(low) / scale)
+
+
+def mapped(value: Column, names: dict, otherwise: str = "Other") -> Column:
+    """The value's name, or a default where it has none."""
+    return F.coalesce(*(F.when(value == k, F.lit(v)) for k, v in names.items()), F.lit(otherwise))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, where an empty whole counts as one."""
     return part / F.greatest(whole, F.lit(1))

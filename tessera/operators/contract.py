@@ -149,3 +149,13 @@ def bias_report(df: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>")
     out = df.agg(*sums).withColumn("warnings", found).withColumn("bias_score", F.size("warnings"))
     return out.withColumn("bias_level", F.when(F.col("bias_score") >= 2, "HIGH").when(F.col("bias_score") == 1, "MEDIUM").otherwise("LOW"))
+
+
+def first_failure(gates: dict[str, Column]) -> Column:
+    """Gates in order, true when passed: (failed, skipped) names the first that fails and those behind it, which then do not run."""
+    names = list(gates)
+    cases = F.lit(None).cast("struct<failed:string,skipped:array<string>>")
+    for i in reversed(range(len(names))):
+        skipped = F.array(*(F.lit(n) for n in names[i + 1 :])).cast("array<string>")
+        cases = F.when(~F.coalesce(gates[names[i]], F.lit(False)), F.struct(F.lit(names[i]).alias("failed"), skipped.alias("skipped"))).otherwise(cases)
+    return cases

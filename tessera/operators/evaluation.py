@@ -56,6 +56,17 @@ def verdict_pivot(rows: DataFrame) -> DataFrame:
     return rows.groupBy("condition").pivot("verdict", ORDER).agg(F.count(F.lit(1)))
 
 
+def group_means(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, average, n) of a numeric column."""
+    return rows.groupBy(key).agg(F.avg(value).alias("average"), F.count(value).alias("n"))
+
+
+def running_stats(rows: DataFrame, order: str) -> DataFrame:
+    """After each result of a condition, in order: how many of each verdict so far."""
+    w = Window.partitionBy("condition").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(order, "condition", "verdict", F.count("*").over(w).alias("seen"), *(F.count_if(F.col("verdict") == v).over(w).alias(v.lower()) for v in ORDER))
+
+
 def by_verdict_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.array_position(F.array(*(F.lit(v) for v in ORDER)), F.col("verdict")))
 
@@ -69,8 +80,8 @@ def run_summary(evaluations: DataFrame) -> DataFrame:
     return one.join(F.broadcast(as_map(nested, "v"))).join(F.broadcast(as_map(status, "s"))).withColumnsRenamed({"v_map": "verdicts", "s_map": "statuses"})  # one row each
 
 
-def breaches(summary: DataFrame) -> DataFrame:
-    """(metric, value, threshold, severity) of breached limits, from (average_score, eligible, not_eligible, verdict_total, patients)."""
+def breaches(summary: DataFrame, *keys: str) -> DataFrame:
+    """(keys, metric, value, threshold, severity) of breached limits, from (average_score, eligible, not_eligible, verdict_total, patients) a row a run."""
     whole = F.greatest(F.col("verdict_total"), F.lit(1))
     yes, no = F.col("eligible") / whole, F.col("not_eligible") / whole
     row = lambda metric, value, threshold, severity, test: F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"), severity.alias("severity"), F.coalesce(test, F.lit(False)).alias("breached"))
@@ -80,7 +91,7 @@ def breaches(summary: DataFrame) -> DataFrame:
         row("not_eligible_percentage", 100 * no, 100 * MAX_NOT_ELIGIBLE, F.lit("HIGH"), no > MAX_NOT_ELIGIBLE),
         row("patients_evaluated", F.col("patients"), MIN_PATIENTS, F.lit("MEDIUM"), F.col("patients") < MIN_PATIENTS),
     )
-    return summary.select(F.inline(rules)).where("breached").drop("breached")
+    return summary.select(*keys, F.inline(rules)).where("breached").drop("breached")
 
 
 def alert_status(found: DataFrame) -> DataFrame:

@@ -63,15 +63,43 @@ def lexical_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(words(query), words(text))), F.size(words(query))), F.lit(0.0))
 
 
-def judged(df: DataFrame, prompt: str, judge: Callable[[str], str] | None, column: str = "judgment", unavailable: str = "(judge unavailable)") -> DataFrame:
-    """Add a judge's answer to each prompt; without a judge, or where it fails, a fixed text."""
+#: One text to its answer, or a batch of texts to theirs when `batch` is set on it.
+Judge = Callable[[str], str]
+
+
+def judged(df: DataFrame, prompt: str, judge: Judge | None, column: str = "judgment", unavailable: str = "(judge unavailable)", failed: str | None = None) -> DataFrame:
+    """Add a judge's answer to each prompt; without a judge, or where it fails, a fixed text.
+
+    A judge with an attribute `batch` (texts to answers) is called once for each batch; a batch that fails is asked text by
+    text, so that one bad prompt costs only its own answer. With `failed`, a column of that name marks the failures, and the
+    answer is then the error.
+    """
     if judge is None:
-        return df.withColumn(column, F.lit(unavailable))
+        out = df.withColumn(column, F.lit(unavailable))
+        return out.withColumn(failed, F.lit(True)) if failed else out
 
-    def one(text: str) -> str:
+    def one(text: str) -> tuple[str, bool]:
         try:
-            return judge(text)
-        except Exception:
-            return unavailable
-
-    return df.withColumn(column, F.pandas_udf(lambda s: s.map(one), "string")(F.col(prompt)))
+            return judge(text), False
+        except Exception as e:
+            return (str(e) if failed else unavailable), True
+
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        whole = getattr(judge, "batch", None)
+        if whole:
+            try:
+                answers = list(whole(texts.tolist()))
+                if len(answers) == len(texts):
+                    return pd.DataFrame({"answer": answers, "failed": False})
+            except Exception:
+                pass  # each text of it is asked alone
+        return pd.DataFrame([one(t) for t in texts], columns=["answer", "failed"])
+
+    said = df.withColumn("_said", F.pandas_udf(ask, "answer string, failed boolean")(F.col(prompt)))
+    out = said.withColumn(column, F.col("_said.answer"))
+    return (out.withColumn(failed, F.col("_said.failed")) if failed else out).drop("_said")
+
+
+def judge_failures(df: DataFrame, failed: str) -> DataFrame:
+    """One row: how many prompts were judged and how many failed."""
+    return df.agg(F.count("*").alias("asked"), F.count_if(F.col(failed)).alias("failed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,6 @@ def to_metrics(report: DataFrame, metrics: Sequence[str], keys: Sequence[str] =
     return wide.unpivot(ids, list(metrics), "metric", "value")
 
 
-def alerts(breaches: DataFrame, run_id: str) -> DataFrame:
+def alerts(breaches: DataFrame, run_id: str | Column) -> DataFrame:
     """Notification rows for breached thresholds."""
-    return breaches.select(F.lit(run_id).alias("run_id"), F.lit("CRITICAL").alias("level"), "metric", "severity", F.concat_ws(" ", F.col("metric"), F.lit("="), F.col("value").cast("string"), F.lit("breaches"), F.col("threshold").cast("string")).alias("message"))
+    return breaches.select((F.lit(run_id) if isinstance(run_id, str) else run_id).alias("run_id"), F.lit("CRITICAL").alias("level"), "metric", "severity", F.concat_ws(" ", F.col("metric"), F.lit("="), F.col("value").cast("string"), F.lit("breaches"), F.col("threshold").cast("string")).alias("message"))

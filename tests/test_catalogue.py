@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue, feeds, gates, scale, trials  # noqa: F401
+from tessera.plans import catalogue, feeds, gates, judging, scale, trials  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
