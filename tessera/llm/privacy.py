@@ -143,12 +143,8 @@ def contexts(docs: DataFrame, text_col: str, window: int) -> DataFrame:
     return source.mapInArrow(run, "x long, y long, entity string, terms array<string>").dropDuplicates(["x", "y", "entity"])
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame, most: int) -> DataFrame:
-    """(term, n): how many distinct texts hold each of `terms`; a number above `most` may be any such.
-
-    Texts that may be copies (x of `copied`) are told apart by their key; a task sends a term's keys, `most` of them at most, and
-    of a term that it finds in more texts only that.
-    """
+def _search(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame, found) -> tuple[DataFrame, object]:
+    """The texts with their keys, and found() over an iterator of (terms held, key if the text may be a copy) for each text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +155,8 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
     sc = docs.sparkSession.sparkContext
     bits = [sc.broadcast(key_bits(keys, min(27, max(16, (16 * n).bit_length())))) for keys, n in ((terms.mapInArrow(hashed, "h long"), terms.count()), (copied.select("x"), copied.count()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[set[str], tuple[int, int] | None]]:
         wanted, copies = (b.value for b in bits)
-        counts = _TermCounts(most)
         for batch in batches:
             raw, bounds = fl.flat(batch.column(2))
             x, y = (np.asarray(batch.column(i)) for i in (0, 1))
@@ -176,12 +171,49 @@ def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFr
                 for d, at in zip(*(a.tolist() for a in np.unique(doc, return_index=True))):
                     stop = int(np.searchsorted(doc, d, "right"))
                     held = {data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in hit[at:stop].tolist()}
-                    counts.add(held, (int(x[d]), int(y[d])) if maybe[d] else None)
+                    yield held, (int(x[d]), int(y[d])) if maybe[d] else None
+
+    source = docs.where(F.col(text_col) != "").select(*_key(text_col), F.col(text_col).alias("text"))
+    return source, lambda batches: found(texts(batches))
+
+
+def least_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, n): a number of distinct texts that each of `terms` has at least: all that are no copies, and what one task has of others."""
+
+    def found(texts: Iterator[tuple[set[str], tuple[int, int] | None]]) -> Iterator[pa.RecordBatch]:
+        single: Counter[str] = Counter()
+        copies: Counter[str] = Counter()
+        seen: set[tuple[int, int]] = set()
+        for held, key in texts:
+            if key is None:
+                single.update(held)
+            elif key not in seen and len(seen) < 1 << 20:  # beyond, copies are not counted: the number stays one that is reached
+                seen.add(key)
+                copies.update(held)
+        every = list(single.keys() | copies.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([single[t] for t in every], pa.int64()), pa.array([copies[t] for t in every], pa.int64())], names=["term", "single", "copies"])
+
+    source, run = _search(docs, text_col, terms, copied, found)
+    told = source.mapInArrow(run, "term string, single long, copies long").groupBy("term").agg((F.sum("single") + F.max("copies")).alias("n"))
+    return told.join(terms, "term", "left_semi")
+
+
+def term_counts(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame, most: int) -> DataFrame:
+    """(term, n): how many distinct texts hold each of `terms`; a number above `most` may be any such.
+
+    Texts that may be copies (x of `copied`) are told apart by their key; a task sends a term's keys, `most` of them at most, and
+    of a term that it finds in more texts only that.
+    """
+
+    def found(texts: Iterator[tuple[set[str], tuple[int, int] | None]]) -> Iterator[pa.RecordBatch]:
+        counts = _TermCounts(most)
+        for held, key in texts:
+            counts.add(held, key)
             if counts.size > 1 << 20:
                 yield counts.taken()
         yield counts.taken()
 
-    source = docs.where(F.col(text_col) != "").select(*_key(text_col), F.col(text_col).alias("text"))
+    source, run = _search(docs, text_col, terms, copied, found)
     summed = source.mapInArrow(run, "x long, y long, term string, n long").groupBy("x", "y", "term").agg(F.sum("n").alias("n"))
     once = summed.groupBy("term").agg(F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(1)).alias("n"))
     return once.join(terms, "term", "left_semi")
@@ -236,12 +268,16 @@ def disclosures(docs: DataFrame, near: DataFrame, *, text_col: str = "text", sup
     some = maybe_in(possible.select(F.xxhash64("term").alias("h")), F.xxhash64("term"))
     around = around if some is None else around.where(some)
     around = around.distinct().groupBy("term").agg(F.count("*").alias("n_around"))
-    terms = written(possible.join(around, "term").where(F.col("n_around") <= F.col("most") + 1e-6).select("term"), "privacy-terms")
-    limit = possible.join(terms, "term", "left_semi").agg(F.max("most").alias("most")).first().most
+    copied = texts.where("rows > 1")
+    under = lambda counts: possible.join(counts, "term").where(F.col("n") <= F.col("most") + 1e-6).select("term", "most")
+    terms = written(under(around.withColumnRenamed("n_around", "n")), "privacy-terms")
+    if not terms.isEmpty():  # a cheap pass leaves the terms that are rare enough, whose texts are then told apart
+        terms = written(under(least_counts(docs, text_col, terms.select("term"), copied)), "privacy-terms")
+    limit = terms.agg(F.max("most")).first()[0]
     if limit is None:
-        counts = terms.withColumn("n", F.lit(0).cast("long"))
+        counts = terms.select("term", F.lit(0).cast("long").alias("n"))
     else:
-        counts = term_counts(docs, text_col, terms, texts.where("rows > 1"), math.ceil(limit) + 1)
+        counts = term_counts(docs, text_col, terms.select("term"), copied, math.ceil(limit) + 1)
     share = F.log(F.lit(n) * F.col("n_both") / (F.col("n") * F.col("n_entity"))) / F.col("information")
     out = rated.join(counts, "term").select("entity", "term", share.alias("disclosed")).where(F.col("disclosed") >= generalise)
     return out.withColumn("kind", F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise"))
