@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Whole texts go to Python in batches of 2,000 rows unless the session says otherwise, which bounds a task's memory."""
+    """A test table. Whole texts go to Python in batches of 500 rows unless the session says otherwise, which bounds a task's memory."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":  # Spark's default
-        spark.conf.set(rows, "2000")
+        spark.conf.set(rows, "500")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once no plan needs them any more: a later table holds what they were for."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tessera/" in file:
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

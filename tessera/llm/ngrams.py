@@ -1,10 +1,11 @@
 """A modified Kneser-Ney model of code-point n-grams, counted, fitted and looked up with Spark.
 
 Texts are lower-cased code points, nothing folded, so the counts grow with the corpus. Counts are
-combined in each task, then by key. Only n-grams that two documents or more have are evidence:
-no document teaches the model its own oddities. Levels, discounts and backoffs are joins and
+combined in each task, then by key. Only n-grams that two different texts or more have are evidence:
+no text teaches the model its own oddities, however many copies of it there are. With its counts an n-gram carries the least and the
+greatest 32-bit hash of the texts that have it, which differ if two texts do. Levels, discounts and backoffs are joins and
 groupings on keys; no language and no level goes through one task. `values` gives the log
-probability of any n-grams, seen or not.
+probability of any n-grams, seen or not: those of a level that are not in it go on to the next lower one, each once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat as fl
-from .common import written
+from .common import discard, written
 
 ORDER = 5
 #: stands before the first symbol of a text
@@ -85,29 +86,30 @@ def strings(codes: np.ndarray) -> pa.Array:
 
 
 def count_grams(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
-    """(lang, g, n, d): occurrences of each n-gram, and 2 where two documents or more have it, else 1."""
+    """(lang, g, n, low, high): occurrences of each n-gram, and the least and greatest hash of the texts that have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         held: list[tuple[np.ndarray, ...]] = []
 
         def combined() -> tuple[np.ndarray, ...]:
-            h, n, d, of, codes = (np.concatenate(x) for x in zip(*held))
+            h, n, low, high, of, codes = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h)
             first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]]))
             one = order[first]
-            return h[one], np.add.reduceat(n[order], first), np.minimum(np.add.reduceat(d[order], first), 2), of[one], codes[one]
+            return h[one], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), of[one], codes[one]
 
         def rows() -> Iterator[pa.RecordBatch]:
             known = np.array(list(names), object)
-            _, n, d, of, codes = combined()
+            _, n, least, most, of, codes = combined()
             for at in range(0, len(n), 100_000):
                 part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(known[of[part]], pa.string()), strings(codes[part]), pa.array(n[part]), pa.array(d[part].astype(np.int32))], names=["lang", "g", "n", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(known[of[part]], pa.string()), strings(codes[part]), pa.array(n[part]), pa.array(least[part]), pa.array(most[part])], names=["lang", "g", "n", "low", "high"])
 
         size = 0
         for batch in batches:
             data, bounds = fl.flat(batch.column(1))
+            texts = np.asarray(batch.column(2))
             of = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.int64)
             seeds = np.array([seed(x) for x in names], np.uint64)
             for low, high in fl.pieces(bounds):
@@ -120,9 +122,9 @@ def count_grams(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
                 order = np.argsort(h)
                 first = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]]))
                 one, row_of = order[first], row[order]
-                several = np.minimum.reduceat(row_of, first) != np.maximum.reduceat(row_of, first)
+                text_of = texts[row_of]
                 symbols = padded[ends[one][:, None] + np.arange(1 - ORDER, 1)]
-                held.append((h[one], np.diff(np.append(first, len(h))), several.astype(np.int64) + 1, of[row[one]], symbols))
+                held.append((h[one], np.diff(np.append(first, len(h))), np.minimum.reduceat(text_of, first), np.maximum.reduceat(text_of, first), of[row[one]], symbols))
                 size += len(one)
                 if size > 1_500_000 and len(held) > 1:
                     held[:] = [combined()]
@@ -133,33 +135,53 @@ def count_grams(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
         if held:
             yield from rows()
 
-    source = docs.select(F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), text.alias("text"))
-    return source.mapInArrow(count, "lang string, g string, n long, d int").groupBy("lang", "g").agg(F.sum("n").alias("n"), F.least(F.sum("d"), F.lit(2)).cast("int").alias("d"))
+    source = docs.select(F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), text.alias("text"), F.hash(F.xxhash64(text)).alias("of"))
+    return source.mapInArrow(count, "lang string, g string, n long, low int, high int").groupBy("lang", "g").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 class Levels:
-    """Tables of a fitted model: for each level, probabilities (lang, g, p) and backoffs (lang, c, b); for each language, that of an unseen symbol."""
+    """Tables of a fitted model: for each level, probabilities (lang, g, n, p) and backoffs (lang, c, b); for each language, that of an unseen symbol."""
 
     def __init__(self, p: dict[int, DataFrame], b: dict[int, DataFrame], unseen: DataFrame):
         self.p, self.b, self.unseen = p, b, unseen
 
     def values(self, wanted: DataFrame) -> DataFrame:
         """`wanted` (lang, g, ...) with nats, the negative log probability of the last symbol after the others."""
-        out, part = wanted, lambda k: F.substring("g", ORDER - k + 1, k)
-        for k in range(ORDER, 0, -1):
-            out = out.withColumns({"_g": part(k), "_c": F.substring("g", ORDER - k + 1, k - 1)})
-            out = out.join(self.p[k].select("lang", F.col("g").alias("_g"), F.col("p").alias(f"_p{k}")), ["lang", "_g"], "left")
-            out = out.join(self.b[k].select("lang", F.col("c").alias("_c"), F.col("b").alias(f"_b{k}")), ["lang", "_c"], "left")
-        out = out.join(self.unseen, "lang", "left")
-        p = F.coalesce("unseen", F.lit(1e-6))
-        for k in range(1, ORDER + 1):
-            p = F.coalesce(f"_p{k}", F.coalesce(f"_b{k}", F.lit(1.0)) * p)
-        return out.select(*wanted.columns, (-F.log(p)).alias("nats"))
+        named = {"lang": "_lang", "g": "_g"}
+        found = self._level(wanted.select("lang", "g").distinct(), ORDER).withColumnsRenamed(named)
+        joined = wanted.join(found, (F.col("lang") == F.col("_lang")) & (F.col("g") == F.col("_g")))
+        return joined.select(*wanted.columns, (-F.log("v")).alias("nats"))
+
+    def model(self, counts: DataFrame) -> DataFrame:
+        """(lang, g, nats, n) of all counted n-grams: those of the top level as they are, the others backed off."""
+        top = self.p[ORDER].select("lang", "g", "p", "n")
+        rest = self._backed_off(counts.where("low = high").select("lang", "g", "n"), ORDER).select("lang", "g", F.col("v").alias("p"), "n")
+        return top.unionByName(rest).select("lang", "g", (-F.log("p")).alias("nats"), "n")
+
+    def _level(self, rows: DataFrame, k: int) -> DataFrame:
+        """(lang, g, v) of distinct k-grams."""
+        met = rows.join(self.p[k].select("lang", "g", "p"), ["lang", "g"], "left")
+        met = written(met, f"grams-met{k}") if k > 1 else met
+        there = met.where("p IS NOT NULL").select("lang", "g", F.col("p").alias("v"))
+        return there.unionByName(self._backed_off(met.where("p IS NULL").drop("p"), k).select("lang", "g", "v"))
+
+    def _backed_off(self, rows: DataFrame, k: int) -> DataFrame:
+        """`rows` (lang, g, ...) of k-grams that level k has not, with v from the next lower level."""
+        rows = rows.withColumns({"c": F.substring("g", 1, k - 1), "low": F.substring("g", 2, k - 1)}).join(self.b[k], ["lang", "c"], "left")
+        if k == 1:
+            rows = rows.join(self.unseen.withColumnRenamed("unseen", "below"), "lang", "left")
+        else:
+            below = self._level(rows.select("lang", F.col("low").alias("g")).distinct(), k - 1)
+            rows = rows.join(below.select("lang", F.col("g").alias("low"), F.col("v").alias("below")), ["lang", "low"])
+        return rows.withColumn("v", F.coalesce("b", F.lit(1.0)) * F.coalesce("below", F.lit(1e-6))).drop("c", "low", "b", "below")
+
+    def discard(self) -> None:
+        discard(*self.p.values(), *self.b.values(), self.unseen)
 
 
 def fit(counts: DataFrame) -> Levels:
-    """Modified Kneser-Ney over the n-grams of two documents or more; lower levels count the distinct symbols before a gram."""
-    level = written(counts.where("d > 1").select("lang", "g", "n"), "grams-5")
+    """Modified Kneser-Ney over the n-grams of two texts or more; lower levels count the distinct symbols before a gram."""
+    level = written(counts.where("low <> high").select("lang", "g", "n"), "grams-5")
     levels = {ORDER: level}
     for k in range(ORDER - 1, 0, -1):
         levels[k] = levels[k + 1].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("n"))
@@ -167,7 +189,7 @@ def fit(counts: DataFrame) -> Levels:
     unseen = written(levels[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("unseen")), "grams-unseen")
     p, b = {}, {}
     for k in range(1, ORDER + 1):
-        # discounts from how many grams are seen once, twice, ...; at the top, those of one document count too
+        # discounts from how many grams are seen once, twice, ...; at the top, those of one text count too
         times = (counts if k == ORDER else levels[k]).groupBy("lang").agg(*(F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"t{i}") for i in range(1, 5)))
         y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
         discounts = [F.greatest(F.lit(0.05), F.least(F.lit(0.95 * i), i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}"))).alias(f"d{i}") for i in range(1, 4)]
@@ -181,8 +203,9 @@ def fit(counts: DataFrame) -> Levels:
         else:
             joined = joined.join(p[k - 1].select("lang", F.col("g").alias("low"), F.col("p").alias("below")), ["lang", "low"])
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        p[k] = written(joined.select("lang", "g", ((F.col("n") - taken) / F.col("total") + F.col("b") * F.col("below")).alias("p")), f"grams-p{k}")
+        p[k] = written(joined.select("lang", "g", "n", ((F.col("n") - taken) / F.col("total") + F.col("b") * F.col("below")).alias("p")), f"grams-p{k}")
         b[k] = written(sums.select("lang", "c", "b"), f"grams-b{k}")
+    discard(*levels.values())
     return Levels(p, b, unseen)
 
 

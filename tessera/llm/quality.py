@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import flat as fl
 from . import ngrams
-from .common import table, written
+from .common import discard, table, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -35,7 +35,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def model(docs: DataFrame) -> DataFrame:
     """(h, nats, n) of every n-gram of the documents (lang, text)."""
     counts = written(ngrams.count_grams(docs, F.col("lang"), F.col("text")), "quality-counts")
-    return written(ngrams.hashed(ngrams.fit(counts).values(counts.select("lang", "g", "n"))), "quality-model")
+    levels = ngrams.fit(counts)
+    out = written(ngrams.hashed(levels.model(counts)), "quality-model")
+    levels.discard()
+    discard(counts)
+    return out
 
 
 def _repeated_words(hashes: np.ndarray, at: np.ndarray, k: int = 8) -> np.ndarray:
