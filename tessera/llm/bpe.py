@@ -167,14 +167,17 @@ def _with(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def _mapped(df: DataFrame, source: str, targets: list[str], make) -> DataFrame:
-    """`df` with `targets`, made from `source` by make()(batch column) -> one array each."""
+    """`df` with `targets`, made from `source` by make()(part of a batch's column) -> one array each. Parts have 512 KB or one longer value."""
     source_at, at = [c.lower() for c in df.columns].index(source.lower()), [df.columns.index(t) for t in targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            made = dict(zip(at, work(batch.column(source_at))))
-            yield pa.RecordBatch.from_arrays([made.get(i, batch.column(i)) for i in range(batch.num_columns)], names=batch.schema.names)
+        for whole in batches:
+            _, bounds = fl.flat(whole.column(source_at))
+            for low, high in fl.pieces(bounds):
+                batch = whole.slice(low, high - low)
+                made = dict(zip(at, work(batch.column(source_at))))
+                yield pa.RecordBatch.from_arrays([made.get(i, batch.column(i)) for i in range(batch.num_columns)], names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
@@ -197,15 +200,10 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: st
 
         def work(column: pa.Array) -> list[pa.Array]:
             data, bounds = fl.flat(column)
-            ids: list[pa.Array] = []
-            decoded: list[pa.Array] = []
-            for low, high in fl.pieces(bounds):
-                texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(bounds[low:high].tolist(), bounds[low + 1 : high + 1].tolist())]
-                found = vocabulary.encode(texts, pattern)
-                ids.append(pa.array(found, pa.binary()))
-                if decoded_col:
-                    decoded.append(pa.array([vocabulary.decode(x) for x in found], pa.string()))
-            return [pa.chunked_array(x, kind).combine_chunks() for x, kind in ((ids, pa.binary()), (decoded, pa.string()))][: 1 + bool(decoded_col)]
+            texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            found = vocabulary.encode(texts, pattern)
+            ids = pa.array(found, pa.binary())
+            return [ids, pa.array([vocabulary.decode(x) for x in found], pa.string())] if decoded_col else [ids]
 
         return work
 
