@@ -69,24 +69,38 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 class _Index:
-    """Windows of one block: a bitmap and sorted hashes to find hits, the words to verify them."""
+    """Windows of one block, sorted by size and hash: a bitmap and the hashes find hits, the words beside them verify them.
+
+    The columns stay where the broadcast value has them; only bitmaps of 1 MB a size are made.
+    """
 
     def __init__(self, rows: pa.Table):
-        self.sizes = sorted(set(rows["k"].to_pylist()))
-        self.verified: dict[tuple[int, int], list[tuple[bytes, list[str | None]]]] = {}
-        for k, h, words, items in zip(*(rows[c].to_pylist() for c in ("k", "hash", "words", "items"))):
-            self.verified.setdefault((k, h), []).append((words, items))
-        self.hashes = {k: np.sort(np.array([h for size, h in self.verified if size == k], np.int64).view(np.uint64)) for k in self.sizes}
+        self.words, self.items = (rows[c].combine_chunks() for c in ("words", "items"))
+        sizes, hashes = rows["k"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
+        self.sizes = np.unique(sizes).tolist()
+        self.first = {k: int(np.searchsorted(sizes, k)) for k in self.sizes}
+        self.hashes = {k: hashes[self.first[k] : int(np.searchsorted(sizes, k, "right"))] for k in self.sizes}
         self.bitmap = {k: np.zeros(1 << 20, bool) for k in self.sizes}
-        for k, hashes in self.hashes.items():
-            self.bitmap[k][(hashes >> np.uint64(44)).astype(np.int64)] = True
+        for k, found in self.hashes.items():
+            self.bitmap[k][(found >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes that windows have, where they start, and the first window with each."""
         found, first = fl.window_hashes(hashes, at, k)
         some = np.flatnonzero(self.bitmap[k][(found >> np.uint64(44)).astype(np.int64)])
         place = np.searchsorted(self.hashes[k], found[some])
-        some = some[self.hashes[k][np.minimum(place, len(self.hashes[k]) - 1)] == found[some]]
-        return found[some], first[some]
+        same = self.hashes[k][np.minimum(place, len(self.hashes[k]) - 1)] == found[some]
+        return found[some[same]], first[some[same]], place[same]
+
+    def same(self, k: int, place: int, words: bytes) -> list[str | None]:
+        """The items of the window of these words, among those that share the hash at `place`."""
+        hashes, out = self.hashes[k], []
+        at = place
+        while at < len(hashes) and hashes[at] == hashes[place]:
+            if self.words[self.first[k] + at].as_py() == words:
+                out += self.items[self.first[k] + at].as_py()
+            at += 1
+        return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: _Index, text_at: int, result_at: int) -> Iterator[pa.RecordBatch]:
@@ -101,13 +115,11 @@ def _scan(batches: Iterator[pa.RecordBatch], index: _Index, text_at: int, result
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str | None]] = {}
             for k in index.sizes:
-                found, first = index.hits(hashes, at, k)
-                for h, i, row in zip(found.view(np.int64).tolist(), first.tolist(), fl.rows_of(first, at).tolist()):
-                    words = _joined(part, starts[i : i + k], ends[i : i + k])
-                    for right, ids in index.verified[k, h]:
-                        if words == right:
-                            spans.setdefault(row, []).append((i - int(at[row]), i - int(at[row]) + k))
-                            items.setdefault(row, set()).update(ids)
+                _, first, places = index.hits(hashes, at, k)
+                for i, place, row in zip(first.tolist(), places.tolist(), fl.rows_of(first, at).tolist()):
+                    if ids := index.same(k, place, _joined(part, starts[i : i + k], ends[i : i + k])):
+                        spans.setdefault(row, []).append((i - int(at[row]), i - int(at[row]) + k))
+                        items.setdefault(row, set()).update(ids)
             for row in range(high - low):
                 before = earlier[low + row]
                 hit = [*spans.get(row, ()), *((x["start"], x["end"]) for x in before["hits"])] if before else spans.get(row, [])
@@ -163,6 +175,7 @@ def decontaminate(
 
 
 def _packed(rows: pa.Table) -> bytes:
+    rows = rows.take(pa.array(np.lexsort((rows["hash"].to_numpy().view(np.uint64), rows["k"].to_numpy()))))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as writer:
         writer.write_table(rows)

@@ -277,27 +277,28 @@ def counted(found: DataFrame, length: int, gram: int, first: bool, width: int =
                 block = fl.mix((total[end] - total[begin]) * down[begin] + back[edge].astype(np.uint64) * fl.PLACES[0] + sizes.astype(np.uint64) * fl.PLACES[1])
                 who = pa.array(row[edge])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(start)).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                columns = [pa.array(block.view(np.int64)), part.column("key").take(who), pa.array((begin - bounds[row[edge]] + base[row[edge]]).astype(np.int32)), part.column("alone").take(who), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "key", "start", "alone", "windows"])
+                columns = [part.column("h").take(who), pa.array(block.view(np.int64)), part.column("key").take(who), pa.array((begin - bounds[row[edge]] + base[row[edge]]).astype(np.int32)), part.column("alone").take(who), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "block", "key", "start", "alone", "windows"])
 
     place = F.struct("key", "start")
-    blocks = written(found.mapInArrow(cut, "block long, key long, start int, alone boolean, windows array<long>"), "suffix-blocks")
-    several = blocks.groupBy("block").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").drop("most")
-    judged = blocks.join(several, "block", "left")
+    blocks = written(found.mapInArrow(cut, "h long, block long, key long, start int, alone boolean, windows array<long>"), "suffix-blocks")
+    # equal windows have the same anchor, so 128 bits tell them apart: the anchor's hash and their own
+    several = blocks.groupBy("h", "block").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").drop("most")
+    judged = blocks.join(several, ["h", "block"], "left")
     later = F.coalesce(place > F.col("least"), F.lit(False))
     covered = judged.where(F.col("alone") & (later if first else F.col("least").isNotNull()))
     together = covered.select("key", "start", (F.col("start") + F.size("windows") - 1 + length).cast("int").alias("end"))
 
-    each = judged.where(~later).select("key", F.col("start").alias("from"), "alone", F.posexplode("windows").alias("nth", "w"))
-    each = each.select("w", "key", (F.col("from") + F.col("nth")).alias("start"), "alone")
-    ends = each.groupBy("w").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most")
-    hit = each.where("alone").join(ends, "w")
+    each = judged.where(~later).select("h", "key", F.col("start").alias("from"), "alone", F.posexplode("windows").alias("nth", "w"))
+    each = each.select("h", "w", "key", (F.col("from") + F.col("nth")).alias("start"), "alone")
+    ends = each.groupBy("h", "w").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most")
+    hit = each.where("alone").join(ends, ["h", "w"])
     hit = hit.where(place > F.col("least")) if first else hit
     islands = hit.select("key", "start").distinct().withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy("key").orderBy("start")))
     return together.unionByName(islands.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).cast("int").alias("end")).select("key", "start", "end"))
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 4096) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 512) -> DataFrame:
     """(key, spans) of bytes to remove from (key, text)."""
     if keep not in ("none", "first") or not 16 <= gram <= length // 2 * 2 or length < 32:
         raise ValueError("keep is 'none' or 'first', and 16 <= gram <= length")

@@ -1,9 +1,14 @@
 """Texts that earlier versions could not take."""
 
+import tracemalloc
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import secrets
+from tessera.llm import decontaminate, secrets, suffix
 
 N = 100_000
 
@@ -22,3 +27,40 @@ def test_hosts_by_their_secrets(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     spans = [(s.kind, text[s.start : s.end]) for s in secrets.scan(docs).first().secrets]
     assert spans == [("link_endpoint", "a.b.internal"), ("link_endpoint", "x.y.com:5432"), ("link_assign", "token: abc")]
+
+
+def test_index_of_many_windows_takes_little_memory():
+    n = 200_000
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(2**63), 2**63, n)
+    hashes[1::1000] = hashes[::1000]  # some hashes of two windows
+    rows = pa.table({"k": pa.array([10] * n, pa.int32()), "hash": pa.array(hashes), "words": pa.array([b"word %d " % i * 8 for i in range(n)]), "items": pa.array([[str(i)] for i in range(n)], pa.list_(pa.string()))})
+    packed = decontaminate._packed(rows)
+    tracemalloc.start()
+    index = decontaminate._Index(decontaminate._unpacked(packed))
+    used, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 20e6  # beside the broadcast bytes
+    order = np.argsort(hashes.view(np.uint64), kind="stable")
+    for at in (0, 1, 999, 1000, 1001, n - 1):
+        place = int(np.searchsorted(hashes.view(np.uint64)[order], hashes.view(np.uint64)[at]))
+        assert index.same(10, place, b"word %d " % at * 8) == [str(at)] and index.same(10, place, b"other") == []
+
+
+def test_repeats_inside_very_long_texts(spark):
+    rng = np.random.default_rng(2)
+    alone = "".join(rng.choice(list("abcdefgh "), 150_000))
+    texts = {1: alone, 2: "x" * 150 + alone[70_000:70_900] + "y" * 150, 3: ("0123456789" * 30_000), 4: alone[:199], 5: None, 6: "é" * 40_000, 7: alone[140_000:] + alone[:200]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    seen = Counter()
+    for t in texts.values():
+        raw = (t or "").encode()
+        seen.update(hash(raw[i : i + 200]) for i in range(len(raw) - 199))
+    for r in suffix.remove_repeats(docs).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        starts = np.array([i for i in range(len(raw) - 199) if seen[hash(raw[i : i + 200])] > 1], np.int64)
+        gone = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(gone, starts, 1)
+        np.add.at(gone, starts + 200, -1)
+        keep = np.cumsum(gone)[: len(raw)] == 0
+        assert bytes(r.kept) == np.frombuffer(raw, np.uint8)[keep].tobytes(), r.doc_id
