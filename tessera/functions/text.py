@@ -75,9 +75,8 @@ def drop_repeated_words(text: Column) -> Column:
     """Words equal, in any case, to the one before go; a text of one word is left as it is."""
 
     def unrepeated(words: Column) -> Column:
-        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-        pairs = F.filter(F.arrays_zip(words.alias("w"), before.alias("b")), lambda p: p["b"].isNull() | (F.lower(p["w"]) != F.lower(p["b"])))
-        return F.when(F.size(words) > 1, F.array_join(F.transform(pairs, lambda p: p["w"]), " "))
+        kept = bound(F.transform(words, F.lower), lambda low: F.filter(words, lambda w, i: (i == 0) | (F.get(low, i) != F.get(low, i - 1))))
+        return F.when(F.size(words) > 1, F.array_join(kept, " "))
 
     def whole(t: Column) -> Column:
         return F.coalesce(bound(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), unrepeated), t)

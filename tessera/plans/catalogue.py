@@ -11,7 +11,7 @@ from tessera.functions import classify, guards, text, values, verdicts
 from tessera.operators import contract, evaluation, keyed, profile, search
 from tessera.providers import lexical_score
 from tessera.sources.sinks import to_metrics
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 from tessera.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +75,7 @@ k AS (SELECT {_sql_classify('t', PROSE, 'plain')} AS condition FROM e)
 SELECT condition, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct FROM k GROUP BY condition
 """)
 def condition_distribution(spark: SparkSession, d: str) -> DataFrame:
-    labelled = table(spark, d, "documents").select(classify.classify(text.clean(F.col("text")), PROSE, "plain").alias("condition"))
+    labelled = spread(table(spark, d, "documents")).select(classify.classify(text.clean(F.col("text")), PROSE, "plain").alias("condition"))
     return profile.distribution_with_pct(labelled, "condition").orderBy(F.desc("n"), "condition")
 
 
@@ -86,18 +86,18 @@ c AS (SELECT doc_id, {_sql_terms(r"regexp_replace(" + _sql_entities('t') + r", '
 SELECT doc_id, {_sql_squeeze('t')} AS cleaned FROM unrepeated
 """)
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT page_id, {_sql_entities('html')} AS decoded FROM pages")
 def html_entities(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
+    return spread(table(spark, d, "pages")).select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
 
 
 @query(rf"WITH t AS (SELECT doc_id, ['T1D: ', 't1dm, ', 'IDDM ', '(t2d) ', 'T2DM ', 'niddm ', 'GDM. ', 'xT1D '][CAST(doc_id % 8 AS INT) + 1] || text AS t FROM documents) SELECT doc_id, {_sql_terms('t')} AS normalised FROM t")
 def terminology(spark: SparkSession, d: str) -> DataFrame:
     term = F.element_at(F.array(*(F.lit(x) for x in ("T1D: ", "t1dm, ", "IDDM ", "(t2d) ", "T2DM ", "niddm ", "GDM. ", "xT1D "))), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", text.expand_terms(F.concat(term, "text")).alias("normalised"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.expand_terms(F.concat(term, "text")).alias("normalised"))
 
 
 #: Conditions of invented trials, one for each key in turn, so that every rule fires somewhere.
@@ -119,7 +119,7 @@ def classify_ordered(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE CASE WHEN trim(text) IN ('', 'nan', 'None') THEN 'N/A' ELSE text END END AS short,
 trim(left(translate(text, chr(34) || chr(10) || chr(13), chr(39) || '  '), 800)) AS safe FROM documents""")
 def shortened_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.shortened(F.col("text"), 300).alias("short"), text.prompt_safe(F.col("text")).alias("safe"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.shortened(F.col("text"), 300).alias("short"), text.prompt_safe(F.col("text")).alias("safe"))
 
 
 @query(r"""
@@ -237,7 +237,7 @@ def _sql_pii(x: str) -> tuple[list[str], str]:
 @query(f"SELECT doc_id, {', '.join(_sql_pii('text')[0])}, md5({_sql_pii('text')[1]}) AS redacted FROM documents")
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
     hits = guards.pii_hits(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *(hits[n].cast("long").alias(n) for n, _ in guards.PII), F.md5(guards.redact_pii(F.col("text"))).alias("redacted"))
+    return spread(table(spark, d, "documents")).select("doc_id", *(hits[n].cast("long").alias(n) for n, _ in guards.PII), F.md5(guards.redact_pii(F.col("text"))).alias("redacted"))
 
 
 _SIGNALS_SQL = " + ".join(f"CAST(regexp_matches(lower(t), '{p}') AS INT)" for p in guards.SIGNALS)
@@ -259,7 +259,7 @@ WHEN NOT contains(lower(t), 'consult your doctor') AND NOT contains(lower(t), 'h
 def output_policy(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 3
     t = F.when(k == 0, F.concat("text", F.lit(" consult your doctor"))).when(k == 1, F.concat("text", F.lit(" take 2 healthcare provider"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", guards.output_problem(t).alias("problem"))
+    return spread(table(spark, d, "documents")).select("doc_id", guards.output_problem(t).alias("problem"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'Recommendation references trials outside retrieved context' WHEN o_orderkey % 4 = 2 THEN 'Recommendation may contain ungrounded trial references' END AS problem FROM orders""")
@@ -320,7 +320,7 @@ def lookup_first_wins(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT CAST(doc_id AS VARCHAR) || '_' || i AS id, CAST(doc_id AS VARCHAR) AS parent_id, CAST(i AS BIGINT) AS chunk_no, substring(text, i * 1000 + 1, 1200) AS chunk, i = n - 1 AS is_last
 FROM (SELECT doc_id, text, CAST(greatest(ceil((length(text) - 200) / 1000), 1) AS BIGINT) AS n FROM documents WHERE trim(coalesce(text, '')) <> ''), unnest(range(n)) AS t(i)""")
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return search.chunk_rows(table(spark, d, "documents"), "doc_id", F.col("text")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    return search.chunk_rows(spread(table(spark, d, "documents")), "doc_id", F.col("text")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 _KNN_SQL = """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings),

@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores where the files make fewer pieces than there are cores; larger inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
     """Number rows in the order of the files that they are read from."""
     return df.withColumn(name, F.monotonically_increasing_id())
