@@ -153,7 +153,8 @@ def _search(docs: DataFrame, text_col: str, terms: DataFrame, copied: DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     sc = docs.sparkSession.sparkContext
-    bits = [sc.broadcast(key_bits(keys, min(27, max(16, (16 * n).bit_length())))) for keys, n in ((terms.mapInArrow(hashed, "h long"), terms.count()), (copied.select("x"), copied.count()))]
+    known = written(terms.mapInArrow(hashed, "h long"), "privacy-hashes")  # one Python worker a task at a time
+    bits = [sc.broadcast(key_bits(keys, min(27, max(16, (16 * n).bit_length())))) for keys, n in ((known, known.count()), (copied.select("x"), copied.count()))]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[set[str], tuple[int, int] | None]]:
         wanted, copies = (b.value for b in bits)
