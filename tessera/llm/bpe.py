@@ -54,6 +54,7 @@ class Vocabulary:
     special: dict[str, int]
     longest: np.ndarray  # bytes of the longest token with each byte: pairs farther apart cannot meet before they are merged
     cache: dict[str, bytes] = field(default_factory=dict)
+    flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # bytes, starts and sizes of the pieces, made where ids are decoded
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -117,7 +118,7 @@ class Vocabulary:
             symbols, owner = symbols[going], owner[going]
         return out
 
-    def encode(self, texts: list[str], pattern, limit: int = 50_000) -> list[bytes]:
+    def encode(self, texts: list[str], pattern, limit: int = 300_000) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         rows = [[pattern.findall(part) for part in self._split(text)] for text in texts]
         new = list({w for row in rows for part in row for w in part if w not in self.cache})
@@ -149,8 +150,18 @@ class Vocabulary:
     def _marks(self, text: str) -> list[int]:
         return [self.special[m] for m in self._specials().findall(text)]
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(p for i in np.frombuffer(ids, "<u4").tolist() if i < self.size and (p := self.pieces[i]) is not None).decode("utf-8", "replace")
+    def decode(self, rows: list[bytes]) -> list[str]:
+        """The texts of lists of ids; the bytes of all pieces are gathered at once."""
+        if self.flat is None:
+            whole = [*(p or b"" for p in self.pieces), b""]  # the last stands for ids beyond the vocabulary
+            sizes = np.array([len(p) for p in whole], np.int64)
+            self.flat = np.frombuffer(b"".join(whole), np.uint8), np.cumsum(sizes) - sizes, sizes
+        data, starts, sizes = self.flat
+        ids = np.minimum(np.frombuffer(b"".join(rows), "<u4").astype(np.int64), self.size)
+        upto = np.append(0, np.cumsum(sizes[ids]))
+        made = data[np.repeat(starts[ids] - upto[:-1], sizes[ids]) + np.arange(upto[-1])].tobytes()
+        at = upto[np.append(0, np.cumsum([len(r) // 4 for r in rows]))].tolist()
+        return [made[s:e].decode("utf-8", "replace") for s, e in zip(at[:-1], at[1:])]
 
 
 def _lowest_near(rank: np.ndarray, reach: int) -> np.ndarray:
@@ -203,7 +214,7 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: st
             texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             found = vocabulary.encode(texts, pattern)
             ids = pa.array(found, pa.binary())
-            return [ids, pa.array([vocabulary.decode(x) for x in found], pa.string())] if decoded_col else [ids]
+            return [ids, pa.array(vocabulary.decode(found), pa.string())] if decoded_col else [ids]
 
         return work
 
@@ -215,7 +226,7 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
 
     def make():
-        return lambda column: [pa.array([shared.value.decode(ids) if ids else "" for ids in column.to_pylist()], pa.string())]
+        return lambda column: [pa.array(shared.value.decode([ids or b"" for ids in column.to_pylist()]), pa.string())]
 
     return _mapped(_with(df, text_col, "string"), ids_col, [text_col], make)
 
