@@ -12,7 +12,7 @@ feeds are escaped too.
 
 Defined results: null texts and roles are empty; rows that repeat are turns of their own;
 messages of equal place are ordered by role, then text; a null conversation id is a
-conversation; deltas before any message event start one; extra columns are ignored.
+conversation, as is, in the query, every id that is no number; deltas before any message event start one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,12 +49,22 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def log_of(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as an event log: each turn starts a message and streams its text as a delta."""
+def log_of(conversations: DataFrame, deltas: int = 64) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as an event log of how they came about.
+
+    Each turn starts a message and streams a draft, half of its text. An assistant's draft is regenerated, any other's is edited, which
+    takes it back; the text then comes in deltas of 256 characters or more, `deltas` of them at most.
+    """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     copies = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").cast("int").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
     message = F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("~")), "role", F.sha2("text", 256), F.col("copy").cast("string"))
-    events = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("message").alias("event"), F.lit("").alias("delta")), F.struct(F.lit(1).cast("long").alias("seq"), F.lit("delta").alias("event"), F.col("text").alias("delta")))
+    size = F.length("text")
+    step = F.greatest(F.lit(256), F.ceil(size / F.lit(deltas))).cast("int")
+    event = lambda seq, name, text: F.struct(seq.cast("long").alias("seq"), name.alias("event"), text.alias("delta"))
+    again = F.when(F.col("role") == "assistant", "regenerate").otherwise("edit")
+    start = F.array(event(F.lit(0), F.lit("message"), F.lit("")), event(F.lit(1), F.lit("delta"), F.left("text", F.floor(size / 2))), event(F.lit(2), again, F.left("text", step)))
+    rest = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / step).cast("int")), lambda i: event(i + 2, F.lit("delta"), F.substring("text", i * step + 1, step)))
+    events = F.concat(start, F.filter(rest, lambda e: e["seq"] > 2))
     return copies.select("conv_id", "turn", "role", message.alias("message"), F.inline(events)).withColumnRenamed("delta", "text")
 
 
