@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, guards, text, values, verdicts
 from tessera.operators import contract, evaluation, keyed, profile, search
-from tessera.providers import lexical_score
 from tessera.sources.sinks import to_metrics
 from tessera.sources.tables import spread, table
 from tessera.streaming import events as streams
@@ -354,19 +353,6 @@ def subtype_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(~classify.wrong_subtype(F.lit("Has T2DM, type 2"), trial, rules)).select("p_partkey")
 
 
-@query(r"""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS q FROM benchmark),
-s AS (SELECT a.item_id, c.item_id AS other_id, len(list_intersect(a.q, c.q)) / len(a.q) AS score FROM b AS a JOIN b AS c ON a.item_id <> c.item_id WHERE len(list_intersect(a.q, c.q)) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other_id) AS rank FROM s) SELECT item_id, other_id, round(score, 9) AS score, rank FROM r WHERE rank <= 5""")
-def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """The five benchmark items nearest to each by words, of all that share one."""
-    items = table(spark, d, "benchmark").select("item_id", "text")
-    word = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("word")
-    shared = items.select("item_id", word).join(items.select(F.col("item_id").alias("other_id"), word), "word").where("item_id <> other_id").select("item_id", "other_id").distinct()
-    texts = shared.join(items, "item_id").join(items.select(F.col("item_id").alias("other_id"), F.col("text").alias("other")), "other_id")
-    pairs = texts.withColumn("score", lexical_score(F.col("text"), F.col("other")))
-    return search.rerank(pairs, 5, "item_id", F.col("score"), "other_id").select("item_id", "other_id", F.round("score", 9).alias("score"), *_long("rank"))
-
-
 # --- evaluation -----------------------------------------------------------------------------------------------------------------------
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as evaluation results with made-up verdict tags."""
