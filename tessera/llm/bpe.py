@@ -150,7 +150,10 @@ class Vocabulary:
     def _marks(self, text: str) -> list[int]:
         return [self.special[m] for m in self._specials().findall(text)]
 
-    def decode(self, rows: list[bytes]) -> list[str]:
+    def decode(self, ids: bytes) -> str:
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, rows: list[bytes]) -> list[str]:
         """The texts of lists of ids; the bytes of all pieces are gathered at once."""
         if self.flat is None:
             whole = [*(p or b"" for p in self.pieces), b""]  # the last stands for ids beyond the vocabulary
@@ -214,7 +217,7 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col: st
             texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             found = vocabulary.encode(texts, pattern)
             ids = pa.array(found, pa.binary())
-            return [ids, pa.array(vocabulary.decode(found), pa.string())] if decoded_col else [ids]
+            return [ids, pa.array(vocabulary.decode_all(found), pa.string())] if decoded_col else [ids]
 
         return work
 
@@ -226,7 +229,7 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
 
     def make():
-        return lambda column: [pa.array(shared.value.decode([ids or b"" for ids in column.to_pylist()]), pa.string())]
+        return lambda column: [pa.array(shared.value.decode_all([ids or b"" for ids in column.to_pylist()]), pa.string())]
 
     return _mapped(_with(df, text_col, "string"), ids_col, [text_col], make)
 
