@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, guards
 from tessera.functions.text import document_text, parent_id
-from tessera.functions.values import chunks, dot, unit
+from tessera.functions.values import chunks
 from tessera.providers import Embed, embed, hashed_words, lexical_score
+from tessera.session import written
 
 from .keyed import keep_first, upsert
 from .numbering import fixed_batches
-from .vectors import VectorIndex
+from .vectors import VectorIndex, asked_rows, in_blocks, ranked, scored, with_vectors
 
 
 def chunk_rows(docs: DataFrame, key: str, text: Column, size: int = 1200, overlap: int = 200) -> DataFrame:
@@ -34,23 +35,17 @@ def update_index(index: DataFrame | None, docs: DataFrame, key: str, text: Colum
     return made if index is None else index.join(todo.select("parent_id"), "parent_id", "left_anti").unionByName(made)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int, *, query: str = "query_id", vector: str = "embedding", item: str = "id", limit: float | None = None, max_queries: int = 10_000) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int, *, query: str = "query_id", vector: str = "embedding", item: str = "id", limit: float | None = None) -> DataFrame:
     """(query, item, distance, rank): the k nearest items of each query, exactly; ties go by item.
 
-    Queries are a stated set; blocks of at most max_queries of them are broadcast against all items, and each task
-    keeps its own k best before the shuffle.
+    The full scan: every query is sent to every piece of the items, and each group of a piece and a block of queries keeps its own k best.
     """
-    blocks = max(1, -(-queries.count() // max_queries))
-    q = queries.select(query, unit(F.col(vector)).alias("q"))
-    items = index.select(item, unit(F.col(vector)).alias("v"))
-    out = None
-    for block in range(blocks):
-        part = q.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == block) if blocks > 1 else q
-        scored = items.join(F.broadcast(part)).select(query, item, (1 - dot(F.col("q"), F.col("v"))).alias("distance"))
-        scored = scored.where(F.col("distance") < limit) if limit is not None else scored
-        out = scored if out is None else out.unionByName(scored)
-    w = Window.partitionBy(query).orderBy("distance", item)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rows = written(with_vectors(index, item, vector, "v"), "nearest-items")
+    asked = asked_rows(queries, query, vector)
+    parts = in_blocks(rows.count())
+    pieces = rows.select(F.pmod(F.xxhash64(item), F.lit(parts)).cast("int").alias("piece"), item, "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("piece"), query, "q", F.lit(limit).cast("double").alias("reach"))
+    return ranked(scored(pieces, sent, query, item, k, in_blocks(asked.count()), limit), query, item, k)
 
 
 def best_parents(hits: DataFrame, k: int, query: str = "query_id", item: str = "id", parent: Column | None = None) -> DataFrame:
@@ -80,12 +75,13 @@ def match(patients: DataFrame, trials: DataFrame, index: DataFrame | VectorIndex
     asks = [judge_input(F.col("summary"))] if judge_input else []
     asked = patients.select("patient_id", F.col("summary").alias("original"), guards.redact_pii(F.col("summary")).alias("summary"), guards.pii_hits(F.col("summary")).alias("pii_hits"), checked(guards.input_problem(F.col("summary")), *asks).alias("input_problem"))
     open_ = asked.where("input_problem is null").withColumn("targets", classify.detect_conditions(F.col("summary")))
-    open_ = embed(open_.withColumn("query", classify.retrieval_query(F.col("summary"), F.col("targets"))), "query", model)
-    hits = index.search(open_, 3 * retrieve, query="patient_id", exact=True) if isinstance(index, VectorIndex) else nearest(open_, index, 3 * retrieve, query="patient_id")
-    found = best_parents(hits, retrieve, "patient_id").withColumnRenamed("distance", "best").withColumnRenamed("rank", "retrieved_rank")
+    open_ = open_.withColumn("query", classify.retrieval_query(F.col("summary"), F.col("targets")))
+    texts = embed(open_.select("query").distinct(), "query", model)  # patients who ask the same are answered by one search
+    hits = index.search(texts, 3 * retrieve, query="query", exact=True) if isinstance(index, VectorIndex) else nearest(texts, index, 3 * retrieve, query="query")
+    found = best_parents(hits, retrieve, "query").withColumnRenamed("distance", "best").withColumnRenamed("rank", "retrieved_rank")
     docs = keep_first(trials, "nct_number", [F.array_position(F.array(*(F.lit(c) for c in classify.REGISTRY)), F.col("condition"))])
     disease = F.lower(F.trim(F.coalesce("disease", F.lit(""))))
-    pairs = found.join(docs, F.col("parent_id") == F.col("nct_number")).join(open_.select("patient_id", "summary", "targets"), "patient_id")
+    pairs = found.join(docs, F.col("parent_id") == F.col("nct_number")).join(open_.select("patient_id", "query", "summary", "targets"), "query")
     pairs = pairs.where((disease == "") | F.array_contains("targets", disease) | F.array_contains("targets", F.replace(disease, F.lit(" "), F.lit("_"))))
     pairs = pairs.where(~classify.wrong_subtype(F.col("summary"), F.concat_ws(" ", "conditions", "study_title")))
     top = rerank(pairs, keep, "patient_id", lexical_score(F.col("summary"), F.concat_ws(" ", "study_title", "conditions")), "retrieved_rank")

@@ -90,6 +90,49 @@ def test_matching_by_index_equals_matching_by_scan(spark):
     assert shown(found) == shown(search.match(patients, trials, flat))
 
 
+def test_queries_are_sent_to_pieces_not_to_lists(spark, monkeypatch):
+    """What is shuffled and held grows with pieces and blocks, however many lists are probed (a row for each list of each query ran out of memory)."""
+    monkeypatch.setattr(vectors, "_CELLS", 2**12)
+    df = table_of(spark, list(enumerate(some_vectors(600, 8, 5))))
+    index = vectors.VectorIndex.build(df, leaf=2)
+    assert len(index.lists.sizes) > 200 and index.lists.sizes.sum() == 600 and index.postings.count() == 600
+    asked = df.select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"), F.lit(None).cast("double").alias("reach"))
+    assert index._probes(asked, "query_id", 1.0).count() == 600
+
+
+def test_lists_are_laid_into_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(vectors, "_PIECE", 10)
+    lists = vectors._Lists(np.zeros((6, 1)), np.array([4, 6, 3, 25, 0, 9]), np.zeros(6))
+    lists.laid_out()
+    assert lists.first.tolist() == [0, 0, 1, 2, 5, 5] and lists.parts.tolist() == [1, 1, 1, 3, 1, 1] and lists.count == 6
+    assert lists.pieces(np.array([0, 0, 1]), np.array([0, 1, 3])).tolist() == [0, 6 + 2, 6 + 3, 6 + 4]
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_best_of_a_group_with_copies_and_near_ties(k):
+    rng = np.random.default_rng(k)
+    rows = vectors._unit(np.concatenate([rng.normal(size=(9000, 6)), np.repeat(rng.normal(size=(3, 6)), 200, 0), np.zeros((2, 6))])[rng.permutation(9602)])
+    rows[1::7] = vectors._unit(rows[0] + 1e-6 * rng.normal(size=(len(rows[1::7]), 6)))  # closer to each other than single precision sees
+    asked = np.concatenate([rows[:300], rng.normal(size=(5, 6))])
+    asked = vectors._unit(asked)
+    row, at, distance = vectors._best(rows, asked, np.full(305, 3.0), k)
+    for q in range(305):
+        d = np.round(1 - (asked[q] * rows).sum(1), 12)
+        want = np.lexsort((np.arange(len(rows)), d))[:k]
+        assert np.allclose(d[want], distance[row == q], atol=2e-12) and len(set(at[row == q].tolist())) == k
+    near = vectors._best(rows, asked, np.full(305, 0.2), k)
+    assert (near[2] <= 0.2).all() and set(zip(near[0], near[1])) == {(r, a) for r, a, d in zip(row, at, distance) if d <= 0.2}
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    trials = spark.createDataFrame([(f"NCT{i:08d}", "diabetes", f"Study {i} of insulin", "type 2 diabetes", "diabetes") for i in range(12)], "nct_number string, condition string, study_title string, conditions string, disease string")
+    patients = spark.createDataFrame([(i, "A 40-year-old female diagnosed with type 2 diabetes, HbA1c 7%, insulin") for i in range(30)], "patient_id long, summary string")
+    sizes, scan = [], search.nearest
+    monkeypatch.setattr(search, "nearest", lambda queries, *a, **more: sizes.append(queries.count()) or scan(queries, *a, **more))
+    found = search.match(patients, trials, search.trial_index(trials)).collect()
+    assert sizes == [1] and len(found) == 30 and len({tuple(r.trials) for r in found}) == 1 and len(found[0].trials) == 5
+
+
 # --- numbers
 def test_numbers_are_gapless_whatever_the_order(spark):
     rows = [(random.Random(i).choice([None, 1, 2, 2, 2]), i, "x") for i in range(500)] + [(7, None, "x")] * 40
