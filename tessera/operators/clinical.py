@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,10 @@ def _coded(v: Column, path: str, missing: str) -> Column:
     return F.coalesce(_get(v, f"{path}.coding[0].display"), _get(v, f"{path}.text"), F.lit(missing))
 
 
-def resources(bundles: DataFrame, keys: list[str], bundle: str = "bundle") -> DataFrame:
-    """(keys, place, kind, resource): the entries of each bundle."""
-    entries = bundles.select(*keys, F.posexplode(_items(F.col(bundle), "entry")).alias("place", "entry"))
-    out = entries.select(*keys, "place", _get(F.col("entry"), "resource", "variant").alias("resource"))
-    return out.withColumn("kind", _get(F.col("resource"), "resourceType"))
+def resources(bundle: Column) -> Column:
+    """(kind, resource) of each entry of a bundle, in its order."""
+    found = F.transform(_items(bundle, "entry"), lambda e: _get(e, "resource", "variant"))
+    return F.transform(found, lambda r: F.struct(_get(r, "resourceType").alias("kind"), r.alias("resource")))
 
 
 def demographics(r: Column, as_of: Column) -> Column:
@@ -83,21 +84,24 @@ def allergy(r: Column) -> Column:
 
 
 def patients(bundles: DataFrame, keys: list[str], as_of: Column, bundle: str = "bundle") -> DataFrame:
-    """One nested patient record a bundle; lists keep the bundle's order, and a bundle without a patient gives no row."""
-    r, kind = F.col("resource"), F.col("kind")
+    """One nested patient record a bundle; lists keep the bundle's order, and a bundle without a patient gives no row.
+
+    A record is made of its own bundle alone, so nothing is shuffled, and each entry is read for its own kind only.
+    """
 
-    def listed(name: str, make: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(kind == name, F.struct("place", make.alias("x"))))), lambda s: s["x"])
+    def listed(name: str, make: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter("entries", lambda e: e["kind"] == name), lambda e: make(e["resource"]))
 
-    first = lambda make: F.min(F.when(kind == "Patient", F.struct("place", make.alias("x"))))["x"]
-    smoking = F.max(F.when((kind == "Observation") & (_get(r, "code.coding[0].code") == SMOKING), F.struct("place", _get(r, "valueCodeableConcept.text").alias("x"))))["x"]
-    out = resources(bundles, keys, bundle).groupBy(*keys).agg(
-        first(demographics(r, as_of)).alias("demographics"), listed("Condition", condition(r)).alias("conditions"), listed("MedicationRequest", medication(r)).alias("medications"), listed("Observation", observation(r, as_of)).alias("observations"),
-        listed("Procedure", procedure(r, as_of)).alias("procedures"), listed("AllergyIntolerance", allergy(r)).alias("allergies"), smoking.alias("smoking"),
+    smoking = F.filter("entries", lambda e: (e["kind"] == "Observation") & (_get(e["resource"], "code.coding[0].code") == SMOKING))
+    out = bundles.select(*keys, resources(F.col(bundle)).alias("entries"))
+    out = out.where(F.exists("entries", lambda e: e["kind"] == "Patient")).select(
+        *keys, F.transform(F.slice(F.filter("entries", lambda e: e["kind"] == "Patient"), 1, 1), lambda e: demographics(e["resource"], as_of))[0].alias("demographics"),
+        listed("Condition", condition).alias("conditions"), listed("MedicationRequest", medication).alias("medications"), listed("Observation", lambda r: observation(r, as_of)).alias("observations"),
+        listed("Procedure", lambda r: procedure(r, as_of)).alias("procedures"), listed("AllergyIntolerance", allergy).alias("allergies"), F.transform(smoking, lambda e: _get(e["resource"], "valueCodeableConcept.text")).alias("smoking"),
     )
+    last = F.try_element_at("smoking", F.lit(-1))
     nothing = F.lit(None).cast("string")
-    life = F.when(F.coalesce("smoking", F.lit("")) != "", F.struct(F.col("smoking").alias("smoking_status"), nothing.alias("alcohol_use")))
-    return out.where("demographics is not null").withColumn("lifestyle", life).drop("smoking")
+    return out.withColumn("lifestyle", F.when(F.coalesce(last, F.lit("")) != "", F.struct(last.alias("smoking_status"), nothing.alias("alcohol_use")))).drop("smoking")
 
 
 def active_conditions(conditions: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import classify, guards, text, values, verdicts
 from tessera.operators import clinical, contract, evaluation, flatten, keyed, search
-from tessera.session import shared_folder
+from tessera.session import shared_folder, written
 from tessera.sources import sinks, tables
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 from .catalogue import _TAGGED_SQL, _tagged, query
 
@@ -76,7 +76,8 @@ def _patients(spark: SparkSession, d: str) -> DataFrame:
 {"resource": {"resourceType": "AllergyIntolerance", "code": {"text": "Nuts"}, "criticality": "high", "reaction": [{"manifestation": [{"text": "Hives"}, {"text": "Itch"}]}]}}]}""",
         F.col("c_custkey").cast("string"), year, _pick("c_custkey", "Female", "male", "x"), F.col("c_custkey").cast("string"), _pick("c_custkey", *_DIAGNOSES), (F.col("c_custkey") % 9 + 1).cast("string"),
     )
-    bundles = table(spark, d, "customer").select("c_custkey", F.parse_json(F.when(F.col("c_custkey") % 11 == 0, F.lit('{"entry": []}')).otherwise(body)).alias("bundle"))
+    keys = written(spread(table(spark, d, "customer").select("c_custkey")), "patients")  # before the filters, which are pushed below a plain repartition
+    bundles = keys.select("c_custkey", F.parse_json(F.when(F.col("c_custkey") % 11 == 0, F.lit('{"entry": []}')).otherwise(body)).alias("bundle"))
     return clinical.patients(bundles, ["c_custkey"], F.lit(AS_OF).cast("date"))
 
 

@@ -235,3 +235,13 @@ def test_keyed_tables_keep_columns_with_the_names_of_helpers(spark):
     assert {r.k: (r.flag, r._done) for r in keyed.set_flag(old, old.where("k = 2"), "k", "flag", F.lit(None)).collect()} == {1: (False, "d"), 2: (True, "d")}
     changed = keyed.update(old, old.where("k = 1").select("k", F.lit("x").alias("_nth"), F.lit("y").alias("_hit")), "k")
     assert changed.columns == old.columns and {r.k: (r._nth, r._hit) for r in changed.collect()} == {1: ("x", "y"), 2: ("n", "h")}
+
+
+def test_patient_records_are_made_without_a_shuffle(spark):
+    """A bundle's entries were dealt out as rows and collected again, and one file of patients was one task."""
+    body = '{"entry": [5, {"resource": {"resourceType": "Observation", "code": {"coding": [{"code": "72166-2"}]}, "valueCodeableConcept": {"text": "Never"}}}, {"resource": {"resourceType": "Patient", "id": "a"}}, {"resource": {"resourceType": "Patient", "id": "b"}}, {"resource": {"resourceType": "Observation", "code": {"coding": [{"code": "72166-2"}]}}}]}'
+    df = spark.createDataFrame([(1, body), (2, '{"entry": []}'), (3, None), (4, '{"entry": {}}')], "k int, body string").select("k", F.try_parse_json("body").alias("bundle"))
+    made = clinical.patients(df, ["k"], F.lit("2020-01-01").cast("date"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    (row,) = made.collect()
+    assert (row.k, row.demographics.patient_id, len(row.observations), row.conditions, row.lifestyle) == (1, "a", 2, [], None)
