@@ -164,7 +164,7 @@ def _write_pages(orders: DataFrame, where: str, broken: Column) -> None:
     pages = orders.groupBy("query", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", entry.alias("entry")))), lambda x: x["entry"]), ",").alias("studies"), F.first("last").alias("last"))
     token = F.when(F.col("page") < F.col("last"), F.concat(F.lit(', "nextPageToken": "t'), (F.col("page") + 1).cast("string"), F.lit('"'))).otherwise("")
     body = F.when(broken, F.lit('{"studies": [')).otherwise(F.concat(F.lit('{"studies": ['), "studies", F.lit("]"), token, F.lit("}")))
-    pages.select("query", "page", body.alias("value")).repartition("query", "page").write.partitionBy("query", "page").mode("overwrite").option("maxRecordsPerFile", 1).text(where)
+    pages.select("query", "page", body.alias("value")).repartition("query", "page").write.partitionBy("query", "page").mode("overwrite").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(where)  # tasks move their files, not the driver all of them
 
 
 @query("""WITH o AS (SELECT o_orderkey, left(o_orderpriority, 1) AS q, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 200 AS BIGINT) AS page FROM orders),
@@ -195,18 +195,19 @@ def paged_orders(spark: SparkSession, d: str) -> DataFrame:
     found = written(found, "pages-found")  # before the page is mended
     out = f"{where}/out"
 
-    def run() -> int:
-        before = spark.read.schema("query string").parquet(f"{out}/data").count() if _exists(spark, out) else 0
-        read(spark.readStream, "permissive", every).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/data", "parquet").awaitTermination()
-        return spark.read.schema("query string").parquet(f"{out}/data").count() - before
+    def run() -> None:
+        """All pages that the interface gives now, batch after batch of one stream."""
+        stream = read(spark.readStream, "permissive", every).writeStream.option("checkpointLocation", f"{out}/checkpoint").start(f"{out}/data", "parquet")
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
 
-    while run():
-        pass
+    run()
     one = (F.col("query") == "2") & (F.col("page") == 1)
     _write_pages(paged.where(one), f"{where}/mended", F.lit(False))
     _replace(spark, f"{where}/mended/query=2/page=1", f"{where}/api/query=2/page=1")
-    while run():
-        pass
+    run()
     return found.unionByName(rows("stream", spark.read.parquet(f"{out}/data")))
 
 
@@ -215,11 +216,6 @@ def _files(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where, files = _files(spark, path)
-    return files.exists(where)
-
-
 def _replace(spark: SparkSession, source: str, target: str) -> None:
     new, files = _files(spark, source)
     old, _ = _files(spark, target)

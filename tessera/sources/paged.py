@@ -21,11 +21,12 @@ class PagedStudies(DataSource):
     """Format "paged_studies": rows (query string, page int, study string), pages followed by their tokens.
 
     Options: url, query (several joined by `;`), status, page_size, sleep, mode ("permissive": a failing page ends
-    the scan of its query and keeps what was read; "failfast": it raises), pages_per_batch (streams only).
+    the scan of its query and keeps what was read; "failfast": it raises), pages_per_batch (streams only: pages of a
+    query in a run's first batch; while a batch is full, the next takes twice as many, up to `max_pages_per_batch`).
     url may be a folder of pages that driver and executors see (a path or file://), named page-N.json or, for each query, query=Q/page=N/part-*.
 
     As a batch, a query is a partition, since only a page tells where the next one is. As a stream, the driver walks the
-    tokens, asking for as little of each page as the interface gives, and every page is a partition; the offset holds each
+    tokens, asking for as little of each page as the interface gives, and a partition is a run of pages of one query; the offset holds each
     query's next page and token, so a restarted stream goes on at the page at which it stopped. A page that fails ends
     the batch before it: in permissive mode it is tried again with the next batch, in failfast mode the stream fails there.
     """
@@ -92,9 +93,14 @@ class PagedReader(DataSourceReader):
             time.sleep(self.pages.sleep)
 
 
+_PARTITIONS = 64  # that the pages of a batch are dealt to, about
+
+
 class PagedStream(DataSourceStreamReader):
     def __init__(self, pages: Pages):
         self.pages = pages
+        self.most = int(pages.options.get("pages_per_batch", "100"))
+        self.ceiling = max(self.most, int(pages.options.get("max_pages_per_batch", "1024")))
         self.at: dict | None = None  # query: next page, its token, whether there is one
         self.steps: list[list] = []  # query, page and token of what no finished batch has
 
@@ -104,8 +110,10 @@ class PagedStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.at is None:
             self.at = self.initialOffset()["at"]
+        full = False
         for query, (page, token, more) in list(self.at.items()):
-            for _ in range(int(self.pages.options.get("pages_per_batch", "100"))):
+            first = page
+            for _ in range(self.most):
                 if not more:
                     break
                 try:
@@ -119,16 +127,20 @@ class PagedStream(DataSourceStreamReader):
                 more = bool(token)
                 time.sleep(self.pages.sleep if more else 0)
             self.at[query] = [page, token, more]
+            full = full or more and page - first == self.most
+        self.most = min(2 * self.most, self.ceiling) if full else self.most  # the interface is ahead
         return {"at": {q: list(x) for q, x in self.at.items()}, "steps": [list(s) for s in self.steps]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if self.at is None:  # a restarted stream plans its last batch first
             self.at = {q: list(end["at"].get(q, [0, None, True])) for q in self.pages.queries}
-        return [InputPartition(tuple(s)) for s in end["steps"] if start["at"].get(s[0], [0])[0] <= s[1] < end["at"][s[0]][0]]
+        steps = [s for s in end["steps"] if start["at"].get(s[0], [0])[0] <= s[1] < end["at"][s[0]][0]]
+        each = -(-len(steps) // _PARTITIONS) or 1
+        return [InputPartition(steps[low : low + each]) for low in range(0, len(steps), each)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        query, page, token = partition.value
-        yield from self.pages.studies(query, page, self.pages.get(query, page, token))  # what fails here is tried again by Spark
+        for query, page, token in partition.value:
+            yield from self.pages.studies(query, page, self.pages.get(query, page, token))  # what fails here is tried again by Spark
 
     def commit(self, end: dict) -> None:
         self.steps = [s for s in self.steps if s[1] >= end["at"].get(s[0], [0])[0]]

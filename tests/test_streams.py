@@ -134,3 +134,21 @@ def test_paged_stream_goes_on_where_it_stopped(spark, tmp_path):
     for _ in range(2):
         found = run("failfast")
     assert found == [n * 10 + k for n in range(5) for k in range(3)]
+
+
+def test_paged_stream_takes_more_pages_while_the_interface_is_ahead(spark, tmp_path):
+    """A run of one small batch after another never ended on a long interface."""
+    spark.dataSource.register(PagedStudies)
+    for q in "ab":
+        for n in range(40):
+            (tmp_path / f"query={q}/page={n}").mkdir(parents=True)
+            (tmp_path / f"query={q}/page={n}/part-0").write_text(json.dumps({"studies": [{"i": n}]} | ({"nextPageToken": "t"} if n < 39 else {})))
+    stream = spark.readStream.format("paged_studies").options(url=f"file://{tmp_path}", query="a;b", sleep="0", pages_per_batch="2", max_pages_per_batch="16").load()
+    query = stream.writeStream.option("checkpointLocation", f"{tmp_path}/c").start(f"{tmp_path}/out", "parquet")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    found = sorted((r.query, r.page) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert found == [(q, n) for q in "ab" for n in range(40)]
+    assert len([f for f in (tmp_path / "c/commits").iterdir() if f.name.isdigit()]) <= 8  # 2, 4, 8, 16, the rest, and one without pages; 20 before
