@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,32 +29,39 @@ class RequestStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "state string")
-        self.waiting = handle.getListState("waiting", "us long, event long, kind string")
+        self.held = handle.getValueState("held", "state string, us array<bigint>, event array<bigint>, kind array<string>")  # one value: every call to the store is a round trip
+
+    def _get(self) -> tuple[str, list, list, list]:
+        held = self.held.get()
+        return (held[0], *map(list, held[1:])) if held else (NOT_STARTED, [], [], [])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, us, event, kind = self._get()
+        timer = us[0] if us else None  # there is one for the first row that waits
         for frame in rows:
-            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["event"].tolist(), frame["kind"].tolist())))
-            self.handle.registerTimer(int(frame["us"].min()) // 1000 + 1)
-        yield _polls([])
+            us += frame["us"].tolist()
+            event += frame["event"].tolist()
+            kind += frame["kind"].tolist()
+        us, event, kind = map(list, zip(*sorted(zip(us, event, kind))))
+        self.held.update((state, us, event, kind))
+        if us[0] != timer:
+            self.handle.registerTimer(us[0] // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        due = [x for x in held if x[0] < until]  # all that are due, whichever timer it is
+        state, us, event, kind = self._get()
+        due = bisect.bisect_left(us, timerValues.getCurrentWatermarkInMs() * 1000)  # all that are due, whichever timer it is
+        if not due:
+            return iter(())
         out = []
-        if due:
-            state = self.state.get()[0] if self.state.exists() else NOT_STARTED
-            for us, event, kind in due:
-                if kind == "poll":
-                    out.append((key[0], event, us, state))
-                state = STATES.get(kind, state)
-            self.state.update((state,))
-            self.waiting.clear()
-            if rest := held[len(due) :]:
-                self.waiting.put(rest)
-                self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        yield _polls(out)
+        for row in zip(us[:due], event[:due], kind[:due]):
+            if row[2] == "poll":
+                out.append((key[0], row[1], row[0], state))
+            state = STATES.get(row[2], state)
+        self.held.update((state, us[due:], event[due:], kind[due:]))
+        if due < len(us):
+            self.handle.registerTimer(us[due] // 1000 + 1)
+        return iter([_polls(out)] if out else ())
 
     def close(self) -> None:
         pass

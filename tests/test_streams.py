@@ -152,3 +152,32 @@ def test_paged_stream_takes_more_pages_while_the_interface_is_ahead(spark, tmp_p
     found = sorted((r.query, r.page) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert found == [(q, n) for q in "ab" for n in range(40)]
     assert len([f for f in (tmp_path / "c/commits").iterdir() if f.name.isdigit()]) <= 8  # 2, 4, 8, 16, the rest, and one without pages; 20 before
+
+
+def test_a_poll_state_is_one_value_read_and_written_once_a_call():
+    """Each call to the state store is a round trip for each key; a list beside the state made ten of them."""
+    import types
+
+    import pandas as pd
+
+    class Store:
+        value, calls, timers = None, 0, []
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    store = Store()
+    handle = types.SimpleNamespace(getValueState=lambda *a: store, registerTimer=store.timers.append)
+    machine = requests.RequestStates()
+    machine.init(handle)
+    frame = pd.DataFrame({"us": [5_000, 1_000, 9_000], "event": [2, 1, 3], "kind": ["poll", "request", "poll"]})
+    list(machine.handleInputRows((7,), iter([frame]), None))
+    assert store.calls == 2 and store.timers == [2]
+    out = pd.concat(machine.handleExpiredTimer((7,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 6), None))
+    assert out.values.tolist() == [[7, 2, 5_000, "processing"]] and store.calls == 4 and store.timers == [2, 10]
+    list(machine.handleExpiredTimer((7,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 6), None))
+    assert store.calls == 5 and store.timers == [2, 10]
