@@ -33,7 +33,14 @@ from pyspark.sql import functions as F
 from . import flat as fl
 from .common import free_name, maybe_in, table, written
 
-CONTEXT = "h long, key long, base int, own int, alone boolean, bytes binary"
+CONTEXT = "h long, key long, base int, own int, alone boolean, bins int, bytes binary"
+BINS = 4
+
+
+def _bins(length: int, gram: int) -> list[tuple[int, int]]:
+    """The windows around an anchor in bins, by the bytes before the anchor: (least, most), both included."""
+    width = -(-(length - gram + 1) // BINS)
+    return [(low, min(low + width - 1, length - gram)) for low in range(0, BINS * width, width)]
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +61,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, place in row, gram hash, context hash) of the anchors of all rows."""
+    """(row, place in row, gram hash, context hash, cores of bins 0 and 1, of 2 and 3) of the anchors of all rows.
+
+    A bin's core is what its windows have in common, as 32 bits of its hash; 0 if the row has no such window.
+    """
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 6
     total, down = _sums(data)
     grams = fl.mix((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
     width = length - gram + 1
@@ -78,33 +88,42 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
     start = np.maximum(bounds[row], place - (length - gram))
     end = np.minimum(bounds[row + 1], place + length)
     context = fl.mix((total[end] - total[start]) * down[start] + (place - start).astype(np.uint64) * fl.PLACES[0] + (end - start).astype(np.uint64) * fl.PLACES[1])
-    return row, place - bounds[row], grams[place].view(np.int64), context.view(np.int64)
+    cores = []
+    for low, high in _bins(length, gram):
+        s, e = place - low, place - high + length
+        there = (s >= bounds[row]) & (e <= bounds[row + 1]) & (low <= high)
+        s, e = np.where(there, s, 0), np.where(there, e, 0)
+        cores.append(np.where(there, fl.mix((total[e] - total[s]) * down[s]) >> np.uint64(32) | np.uint64(1), np.uint64(0)))
+    pairs = [(cores[i] << np.uint64(32) | cores[i + 1]).view(np.int64) for i in (0, 2)]
+    return row, place - bounds[row], grams[place].view(np.int64), context.view(np.int64), *pairs
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, key, pos) of all anchors of (key, text)."""
+    """(h, c, key, pos, near, far) of all anchors of (key, text); near and far hold the cores of two bins each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal texts of a task give their anchors once; forgotten at times, as repeats do no harm
         for batch in batches:
             keys = np.asarray(batch.column(0))
             fresh = np.sort([i for i in np.unique(keys, return_index=True)[1].tolist() if int(keys[i]) not in seen]).astype(np.int64)
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             seen.update(keys[fresh].tolist())
             batch, keys = batch.take(pa.array(fresh)), keys[fresh]
             data, bounds = fl.flat(batch.column(1))
             for low, high in fl.pieces(bounds):
-                row, pos, h, c = _anchors(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], length, gram)
+                row, pos, h, c, near, far = _anchors(data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low], length, gram)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(keys[low:high][row]), pa.array(pos.astype(np.int32))], names=["h", "c", "key", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(keys[low:high][row]), pa.array(pos.astype(np.int32)), pa.array(near), pa.array(far)], names=["h", "c", "key", "pos", "near", "far"])
 
-    return docs.select("key", "text").mapInArrow(run, "h long, c long, key long, pos int")
+    return docs.select("key", "text").mapInArrow(run, "h long, c long, key long, pos int, near long, far long")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each wanted (key, h, pos, alone); one row of each key's text is read."""
-    per_key = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "alone")).alias("places"))
+    """The bytes of the windows in the bins of each wanted (key, h, pos, alone, bins); one row of each key's text is read."""
+    per_key = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "pos", "alone", "bins")).alias("places"))
+    held = [[b for i, b in enumerate(_bins(length, gram)) if mask >> i & 1] for mask in range(1 << BINS)]
+    least, reach = (np.array([x[i][i] if x else 0 for x in held]) for i in (0, -1))
     may_have = maybe_in(wanted.select("key").distinct(), F.col("key"))
     texts = (docs if may_have is None else docs.where(may_have)).select("key", "text").dropDuplicates(["key"])
 
@@ -112,11 +131,12 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
         for batch in batches:
             data, bounds = fl.flat(batch.column(1))
             lists = batch.column(2)
-            h, pos, alone = (lists.flatten().field(i) for i in range(3))
+            h, pos, alone, bins = (lists.flatten().field(i) for i in range(4))
             row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             at = np.asarray(pos).astype(np.int64)
-            start = np.maximum(at - (length - gram), 0)
-            end = np.minimum(at + length, np.diff(bounds)[row])
+            mask = np.asarray(bins)
+            start = np.maximum(at - reach[mask], 0)
+            end = np.minimum(at - least[mask] + length, np.diff(bounds)[row])
             keys = np.asarray(batch.column(0))
             for low in range(0, len(row), 2048):
                 part = slice(low, low + 2048)
@@ -124,14 +144,14 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
                 offsets = np.append(0, np.cumsum(size))
                 flat = data[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
                 found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
-                columns = [h.slice(low, 2048), pa.array(keys[row[part]]), pa.array(start[part].astype(np.int32)), pa.array((at - start)[part].astype(np.int32)), alone.slice(low, 2048), found]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "base", "own", "alone", "bytes"])
+                columns = [h.slice(low, 2048), pa.array(keys[row[part]]), pa.array(start[part].astype(np.int32)), pa.array((at - start)[part].astype(np.int32)), alone.slice(low, 2048), bins.slice(low, 2048), found]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "base", "own", "alone", "bins", "bytes"])
 
     return texts.join(per_key, "key").select("key", "text", "places").mapInArrow(cut, CONTEXT)
 
 
-def suffix_ranks(data: np.ndarray, group: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that have `length` bytes left of their text and share them with another one of their group, in order of their ranks by those bytes.
+def suffix_ranks(data: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that have `length` bytes left of their text and share them with another one, in order of their ranks by those bytes.
 
     Prefix doubling: ranks of 8, 16, ... bytes; the last step joins two overlapping blocks to exactly `length` (16 or
     more). A suffix that is alone in its rank keeps that rank, which no other can reach, and is not sorted again.
@@ -142,9 +162,9 @@ def suffix_ranks(data: np.ndarray, group: np.ndarray, left: np.ndarray, length:
     eight = np.zeros(n, np.uint64)
     for i in range(8):
         eight |= padded[i : i + n].astype(np.uint64) << np.uint64(56 - 8 * i)
-    order = np.lexsort((eight, group))
+    order = np.argsort(eight)
     rank, shared = np.empty(n, np.int64), np.zeros(n, bool)
-    rank[order], shared[order] = _dense(group[order], eight[order])
+    rank[order], shared[order] = _dense(eight[order])
     live, reach, base = np.flatnonzero(shared), 8, n
     while reach < length:
         step = min(reach, length - reach)
@@ -159,12 +179,10 @@ def suffix_ranks(data: np.ndarray, group: np.ndarray, left: np.ndarray, length:
     return order, rank[order]
 
 
-def _dense(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of sorted rows by their keys, and whether others have the same."""
-    new = np.zeros(len(keys[0]) + 1, bool)
-    new[[0, -1]] = True
-    for key in keys:
-        new[1:-1] |= key[1:] != key[:-1]
+    new = np.ones(len(keys) + 1, bool)
+    new[1:-1] = keys[1:] != keys[:-1]
     return np.cumsum(new[:-1]) - 1, ~(new[:-1] & new[1:])
 
 
@@ -186,12 +204,12 @@ def nearest(values: np.ndarray, run: np.ndarray, side: int, smaller: bool) -> np
     return at
 
 
-def _settle(h: np.ndarray, key: np.ndarray, base: np.ndarray, alone: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int, first: bool) -> pa.RecordBatch:
-    """(key, start, end) of bytes under matched windows of lone contexts."""
+def _settle(key: np.ndarray, base: np.ndarray, alone: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int, first: bool) -> pa.RecordBatch:
+    """(key, start, end) of bytes under matched windows of lone contexts; of several anchors' contexts, as equal bytes at two places match under any anchor."""
     sizes = np.diff(bounds)
-    owner = np.repeat(np.arange(len(h)), sizes)
+    owner = np.repeat(np.arange(len(key)), sizes)
     left = bounds[1:][owner] - np.arange(len(data))
-    order, rank = suffix_ranks(data, np.unique(h, return_inverse=True)[1][owner], left, length)
+    order, rank = suffix_ranks(data, left, length)
     who = owner[order]
     place = (np.unique(key, return_inverse=True)[1][who].astype(np.int64) << 40) + base[who] + order - bounds[who]  # order of documents, then of places
     before, after = nearest(place, rank, -1, True), nearest(place, rank, 1, True)
@@ -210,7 +228,7 @@ def _settle(h: np.ndarray, key: np.ndarray, base: np.ndarray, alone: np.ndarray,
 SPANS = "key long, start int, end int"
 
 
-def settled(found: DataFrame, length: int, first: bool, flush: int = 1 << 20) -> DataFrame:
+def settled(found: DataFrame, length: int, first: bool, flush: int = 1 << 18) -> DataFrame:
     """Spans of the contexts' matched windows; whole anchors are gathered up to about `flush` bytes a suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +236,8 @@ def settled(found: DataFrame, length: int, first: bool, flush: int = 1 << 20) ->
         size = 0
 
         def judged(rows: pa.Table) -> pa.RecordBatch:
-            h, key, base, alone = (rows[c].to_numpy() for c in ("h", "key", "base", "alone"))
-            return _settle(h, key, base.astype(np.int64), alone, *fl.flat(rows["bytes"]), length, first)
+            key, base, alone = (rows[c].to_numpy() for c in ("key", "base", "alone"))
+            return _settle(key, base.astype(np.int64), alone, *fl.flat(rows["bytes"]), length, first)
 
         for batch in batches:
             held.append(batch)
@@ -247,12 +265,13 @@ def settled(found: DataFrame, length: int, first: bool, flush: int = 1 << 20) ->
     return slim.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
-def counted(found: DataFrame, length: int, gram: int, first: bool, width: int = 32) -> DataFrame:
+def counted(found: DataFrame, length: int, gram: int, first: bool) -> DataFrame:
     """The same for anchors with very many kinds of contexts: hashes are counted with partial sums.
 
-    Up to `width` neighbouring windows, at fixed places around the anchor, make a block. Equal blocks settle their windows
+    The windows of a bin whose core is met again make a block. Equal blocks settle their windows
     together; only lone blocks and the first of each kind of equal ones are taken apart, and their windows counted.
     """
+    width = -(-(length - gram + 1) // BINS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,6 +286,7 @@ def counted(found: DataFrame, length: int, gram: int, first: bool, width: int =
                 row = np.searchsorted(bounds, start, "right") - 1
                 back = bounds[row] + own[row] - start  # bytes of the window before the anchor
                 fits = (start + length <= bounds[row + 1]) & (back >= 0) & (back + gram <= length)
+                fits &= np.asarray(part.column("bins"))[row] >> np.clip(back, 0, length - gram) // width & 1 == 1
                 start, row, back = start[fits], row[fits], back[fits]
                 if not len(start):
                     continue
@@ -298,7 +318,7 @@ def counted(found: DataFrame, length: int, gram: int, first: bool, width: int =
     return together.unionByName(islands.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).cast("int").alias("end")).select("key", "start", "end"))
 
 
-def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 4096) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "none", most: int = 1024) -> DataFrame:
     """(key, spans) of bytes to remove from (key, text)."""
     if keep not in ("none", "first") or not 16 <= gram <= length // 2 * 2 or length < 32:
         raise ValueError("keep is 'none' or 'first', and 16 <= gram <= length")
@@ -307,12 +327,21 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 50, keep: str = "non
     place = F.struct("key", "pos")
     met = anchors(docs, length, gram).withColumn("n", F.count("*").over(h)).where("n > 1").drop("n")  # the shuffle by h serves all windows
     met = met.withColumn("same", F.min(place).over(hc) != F.max(place).over(hc)).withColumn("nth", F.row_number().over(hc.orderBy("key", "pos")))
-    met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(h)).drop("c")
-    met = written(met.where("same OR kinds > 1"), "suffix-anchors")
+    met = met.withColumn("kinds", F.sum((F.col("nth") == 1).cast("int")).over(h)).where("same OR kinds > 1")
+    bins = F.lit(0)
+    for i in range(BINS):  # equal windows of two kinds share the core of their bin; where no core is shared, there is nothing to match
+        pair, core = F.col("near" if i < 2 else "far"), f"core{i}"
+        met = met.withColumn(core, F.shiftrightunsigned(pair, 32) if i % 2 == 0 else pair.bitwiseAND(F.lit(0xFFFFFFFF)))
+        shared = Window.partitionBy("h", core)
+        met = met.withColumn(f"bin{i}", (F.col(core) != 0) & (F.min("c").over(shared) != F.max("c").over(shared)) & (F.lit(True) if first else ~F.min("same").over(shared)))
+        bins = bins + F.col(f"bin{i}").cast("int") * (1 << i)
+    met = met.select("h", "key", "pos", "same", "nth", bins.alias("bins"))
+    met = met.withColumn("kinds", F.sum(((F.col("nth") == 1) & (F.col("bins") > 0)).cast("int")).over(h))
+    met = written(met.where("same OR bins > 0"), "suffix-anchors")
 
     start, end = F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end")
     whole = met.where("nth > 1" if first else "same").select("key", start, end)
-    wanted = met.where("kinds > 1 AND nth = 1").select("key", "h", "pos", F.lit(True).alias("alone") if first else (~F.col("same")).alias("alone"), "kinds")
+    wanted = met.where("bins > 0 AND nth = 1").select("key", "h", "pos", F.lit(True).alias("alone") if first else (~F.col("same")).alias("alone"), "bins", "kinds")
     spans = whole.unionByName(settled(contexts(docs, wanted.where(F.col("kinds") <= most), length, gram), length, first))
     if not wanted.where(F.col("kinds") > most).isEmpty():
         spans = spans.unionByName(counted(contexts(docs, wanted.where(F.col("kinds") > most), length, gram), length, gram, first))
