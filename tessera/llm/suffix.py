@@ -6,7 +6,8 @@ occurrences of one anchor. Anchors with one occurrence go; occurrences whose who
 (all windows around the anchor) are equal are settled by their count; of the rest, one context
 of each kind meets the other kinds of its anchor in a task that builds their suffix array by
 prefix doubling. In suffix order, previous and next smaller positions give each suffix its
-longest earlier match (LPF), and greater ones its later match. Anchors with more than `most`
+longest earlier match (LPF), and greater ones its later match. The windows around an anchor are put
+into bins, and a context is cut to the bins whose core, the bytes that all their windows hold, another one shares. Anchors with more than `most`
 kinds of contexts are settled by counting blocks of windows, then single windows, over all executors.
 
 keep="none" removes every byte under a window that starts anywhere else too; keep="first" keeps
